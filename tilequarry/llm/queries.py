@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import html, lines, mixing, packing, quality, sharding, shingles, tokens, topk, toxicity
 from .common import table
+from .oracle import ORACLE_SQL as ORACLE_SQL
 
 #: Vocabulary file of the token counts, as installed with the public tokenizers.
 VOCABULARY = "word_bpe_49k.json"
@@ -75,4 +76,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 
-ORACLE_SQL: dict[str, str] = {}
