@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from bisect import bisect_left, insort
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -50,8 +49,7 @@ class BestFit:
         if used[source] >= self.most:
             self.full[b] |= s
         self.clusters[b] |= c
-        if left > size:
-            insort(order, (left - size, b))
+        insort(order, (left - size, b))  # a full bin can still take pieces of no size
         return b
 
 
@@ -127,9 +125,3 @@ def pack_documents(docs: DataFrame, capacity: int = 2048) -> DataFrame:
     """Packing of documents by their words, with exact copies as duplicate clusters."""
     need(docs, "doc_id", "text", "source")
     return pack(docs.select("doc_id", "source", word_tokens().alias("n_tokens"), text_cluster().alias("cluster")), capacity=capacity)
-
-
-def bins_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Fill of each bin of packed pieces, for reports."""
-    for pdf in batches:
-        yield pdf.groupby("bin_id", as_index=False).agg(n_pieces=("piece", "size"), n_tokens=("n_tokens", "sum"))
