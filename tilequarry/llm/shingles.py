@@ -6,8 +6,9 @@ indexed one by one. Frequent tokens fall into classes by their hash and are inde
 prefix tokens shares a pair unless m - 1 of them are missed, so the prefix is extended until the rare tokens and the
 sums of m - 1 come to e + 1. Candidates are verified on the whole sets.
 
-Groups never become all pairs: each index list first links its members to a pivot of similar size; only members that
-the verified links leave in different components are paired after that.
+Groups never become all pairs: each index list first links its members to a pivot of similar size, then each member to
+the closest one of another component; only members that the verified links leave in different components, and whose
+parity bitmaps allow a link, are paired in full after that.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ _K = np.uint64(0x9E3779B97F4A7C15)
 #: Counters of the frequency table, and rows in which it is gathered; both fixed, so the table never grows.
 COUNTERS, CHUNKS = 1 << 20, 64
 BITS = 1 << 24
+#: Bits of a set's parity bitmap.
+SKETCH = 512
 #: Members of one pivot that one task verifies.
 FAN = 256
 
@@ -239,8 +242,14 @@ def _lists(index: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(run, "sig long, d1 long, d2 long, n int, p1 long, p2 long")
 
 
-def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(d1, d2, text) of the sets in wanted (d1, d2, xh); a bitmap of fixed size spares most other texts the shuffle."""
+def sketch(tokens: np.ndarray) -> bytes:
+    """Parity bitmap of a set: two sets' bitmaps differ in no more places than the sets have tokens of their own."""
+    return np.packbits(np.bincount((tokens >> np.uint64(20)) & np.uint64(SKETCH - 1), minlength=SKETCH).astype(np.uint8) & 1).tobytes()
+
+
+def _texts(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """(d1, d2, text, sketch) of the sets in wanted (d1, d2, xh); a bitmap of fixed size spares most other texts the
+    shuffle."""
     bits = wanted.selectExpr(f"shiftright(pmod(xh, {BITS}L), 5) as at", "shiftleft(1L, cast(pmod(xh, 32L) as int)) as b")
     words = bits.groupBy("at").agg(F.bit_or("b").alias("b")).toPandas()
     bitmap = np.zeros(BITS >> 5, np.uint32)
@@ -261,7 +270,14 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield batch.filter(pa.array(keep))
 
     some = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("xh"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "xh long, text string")
-    return some.join(wanted, "xh").groupBy("d1", "d2").agg(F.first("text").alias("text"))
+    found = some.join(wanted, "xh").groupBy("d1", "d2").agg(F.first("text").alias("text"))
+
+    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [sketch(shingle_set(t.as_py(), n)) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary())], ["d1", "d2", "text", "sketch"])
+
+    return found.select("d1", "d2", "text").mapInArrow(drawn, "d1 long, d2 long, text string, sketch binary")
 
 
 def _verify(edges: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
@@ -312,42 +328,87 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.select(F.col("u.a").alias("d1"), F.col("u.b").alias("d2"), F.col("c.a").alias("c1"), F.col("c.b").alias("c2"))
 
 
-def _crossing(lists: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """(x1, x2, y1, y2): pairs of one list whose sizes can be linked and whose components differ."""
+class _Window:
+    """Entries of one list, in the order of size, with the first that a set of the current size can be linked with."""
+
+    def __init__(self) -> None:
+        self.n: list[int] = []
+        self.who: list[tuple[int, int]] = []
+        self.comp: list[tuple[int, int]] = []
+        self.bits: list[int] = []
+        self.rows = np.zeros((16, SKETCH // 64), np.uint64)
+        self.start = 0
+
+    def add(self, n: int, who: tuple[int, int], comp: tuple[int, int], bits: bytes) -> None:
+        if len(self.n) == len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        self.rows[len(self.n)] = np.frombuffer(bits, np.uint64)
+        self.n.append(n)
+        self.who.append(who)
+        self.comp.append(comp)
+        self.bits.append(int.from_bytes(bits, "little"))
+
+    def near(self, n: int, comp: tuple[int, int], bits: bytes, percent: int) -> list[tuple[int, int]]:
+        """(difference, position) of entries of other components that size and bitmap allow."""
+        while self.start < len(self.n) and self.n[self.start] * 100 < percent * n:
+            self.start += 1
+        at = range(self.start, len(self.n))
+        if len(at) > 24:
+            apart = np.bitwise_count(self.rows[self.start : len(self.n)] ^ np.frombuffer(bits, np.uint64)).sum(axis=1, dtype=np.int64)
+            most = (np.array(self.n[self.start :]) + n) * (100 - percent) // (100 + percent)
+            found = [(int(apart[i]), i + self.start) for i in np.flatnonzero(apart <= most).tolist()]
+        else:
+            own = int.from_bytes(bits, "little")
+            found = [(d, i) for i in at if (d := (self.bits[i] ^ own).bit_count()) * (100 + percent) <= (self.n[i] + n) * (100 - percent)]
+        return [x for x in found if self.comp[x[1]] != comp]
+
+
+def _crossing(lists: DataFrame, labels: DataFrame, texts: DataFrame, percent: int, closest: bool) -> DataFrame:
+    """(x1, x2, y1, y2): pairs of one list whose components differ, and whose sizes and bitmaps allow a link; with
+    closest, of each entry's pairs in a list only the one whose bitmaps differ least."""
     parts = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     known = lists.select("sig", "d1", "d2", "n").join(labels, ["d1", "d2"], "left").select("sig", "n", "d1", "d2", F.coalesce("c1", "d1").alias("c1"), F.coalesce("c2", "d2").alias("c2"))
     mixed = known.groupBy("sig").agg(F.min("c1").alias("a"), F.max("c1").alias("b"), F.min("c2").alias("c"), F.max("c2").alias("d")).where("a <> b or c <> d").select("sig")
-    dealt = known.join(mixed, "sig").select("sig", "n", "d1", "d2", "c1", "c2").repartition(parts, "sig").sortWithinPartitions("sig", "n", "d1", "d2")
+    drawn = known.join(mixed, "sig").join(texts.select("d1", "d2", "sketch"), ["d1", "d2"])
+    dealt = drawn.select("sig", "n", "d1", "d2", "c1", "c2", "sketch").repartition(parts, "sig").sortWithinPartitions("sig", "n", "d1", "d2")
+    names = ["x1", "x2", "y1", "y2"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sig, window, start = None, [], 0
+        sig, window = None, _Window()
         seen: set[tuple] = set()
         for batch in batches:
-            out = []
-            for s, n, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            out: list[tuple] = []
+            for s, n, d1, d2, c1, c2, bits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if s != sig:
-                    sig, window, start = s, [], 0
-                while start < len(window) and window[start][0] * 100 < percent * n:
-                    start += 1
-                d, c = (rest[0], rest[1]), (rest[2], rest[3])
-                for _, e, k in window[start:]:
-                    if k != c:
-                        pair = (*d, *e) if e < d else (*e, *d)
-                        if pair not in seen:
-                            if len(seen) >= 200_000:
-                                seen.clear()
-                            seen.add(pair)
-                            out.append(pair)
-                            if len(out) >= 50_000:
-                                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["x1", "x2", "y1", "y2"])
-                                out = []
-                window.append((n, d, c))
+                    sig, window = s, _Window()
+                found = window.near(n, (c1, c2), bits, percent)
+                for _, i in [min(found)] if closest and found else found:
+                    d, e = (d1, d2), window.who[i]
+                    pair = (*d, *e) if e < d else (*e, *d)
+                    if pair not in seen:
+                        if len(seen) >= 200_000:
+                            seen.clear()
+                        seen.add(pair)
+                        out.append(pair)
+                window.add(n, (d1, d2), (c1, c2), bits)
+                if len(out) >= 50_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names)
+                    out = []
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["x1", "x2", "y1", "y2"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names)
 
     return dealt.mapInArrow(run, "x1 long, x2 long, y1 long, y2 long").distinct()
 
 
+def _grown(found: DataFrame, labels: DataFrame, more: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links and component labels with more links; labels are worked out anew only if there are any."""
+    more = materialise(more, "links")
+    if more.isEmpty():
+        return found, labels
+    found = found.unionByName(more)
+    return found, components(found)
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row: components of documents linked by Jaccard similarity.
 
@@ -366,14 +427,16 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     lists = materialise(_lists(_index(docs, n, percent, _frequencies(profiles)), percent), "lists")
     sets = rows.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.min("xh").alias("xh"))
     wanted = lists.select("d1", "d2").distinct().join(sets, ["d1", "d2"]).select("d1", "d2", "xh")
-    texts = materialise(_texts(docs, wanted), "texts")
+    texts = materialise(_texts(docs, wanted, n), "texts")
     stars = lists.where("p1 is not null").select(F.col("d1").alias("x1"), F.col("d2").alias("x2"), F.col("p1").alias("y1"), F.col("p2").alias("y2")).distinct()
     found = materialise(_verify(materialise(stars, "stars"), texts, n, percent), "links")
     labels = components(found)
-    rest = materialise(_crossing(lists, labels, percent), "crossing")
-    more = _verify(rest, texts, n, percent)
-    links = materialise(found.unionByName(more), "links")
-    labels = components(links)
+    # What the pivots left apart: first each entry with the closest entry of another component, then, between what is
+    # still apart, all pairs that can be linked.
+    near = materialise(_crossing(lists, labels, texts, percent, closest=True), "near")
+    found, labels = _grown(found, labels, _verify(near, texts, n, percent))
+    rest = materialise(_crossing(lists, labels, texts, percent, closest=False).join(near, ["x1", "x2", "y1", "y2"], "left_anti"), "rest")
+    found, labels = _grown(found, labels, _verify(rest, texts, n, percent))
     named = sets.join(labels, ["d1", "d2"], "left").select("d1", "d2", "first", F.coalesce("c1", "d1").alias("c1"), F.coalesce("c2", "d2").alias("c2"))
     least = named.groupBy("c1", "c2").agg(F.min("first").alias("component_id"))
     classes = named.join(least, ["c1", "c2"]).select("d1", "d2", "component_id")
