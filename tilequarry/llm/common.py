@@ -17,12 +17,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Temporary folders of sessions without a configured one, by application.
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share; a temporary one only where none is configured (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tilequarry-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        app = spark.sparkContext.applicationId
+        if app not in _OWN:
+            _OWN[app] = "file://" + tempfile.mkdtemp(prefix="tilequarry-")
+        found = _OWN[app]
     return found.rstrip("/")
 
 
@@ -31,10 +37,14 @@ def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tilequarry-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    # Lets Spark's cleaner drop the shuffle files of what was just written, which nothing needs any more.
+    release(spark)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of finished queries, which nothing refers to any more."""
     gc.collect()
     spark._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
 
 
 def discard(df: DataFrame) -> None:

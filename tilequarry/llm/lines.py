@@ -4,8 +4,8 @@ Two lines match when the Jaccard similarity of their sets of lower-cased words r
 an earlier one (of a smaller doc_id, or higher up in the same document) is removed. Equal sets are one class, known by
 its first line, and only classes are joined. Words have one global order, rare ones first; two similar sets share a word
 among the first ones of both, at places that their sizes and the overlap they need bound. Postings carry a parity bitmap
-of the set, whose difference never exceeds the sets' difference, so most pairs that share a word by chance end there.
-What is left is verified on the words themselves.
+of the set (two of them), whose difference never exceeds the sets' difference, so most pairs that share a word by chance end there.
+What is left is verified on the words of both lines.
 
 One earlier match settles a line. So in each list of a word a class is first held against the list's earliest class
 alone; only where these two cannot be similar is it paired with the rest of the list. Classes whose pairs with earliest
@@ -17,21 +17,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_GAP, discard, materialise, need
+from .common import WORD_GAP, discard, materialise, need, release
 
 #: Entries of the table of word frequencies; fixed, so what every task holds never grows.
 BUCKETS = 1 << 16
 _FIRST = -(1 << 63)
 
 
-def _words(line: str) -> Column:
-    return F.array_distinct(F.filter(F.split(F.lower(F.col(line)), WORD_GAP, -1), lambda w: w != ""))
+#: ASCII white space other than the space.
+_GAPS = "\t\x0b\x0c\r\n"
+_NO_WORD = "xxhash64('')"
+
+
+def _ids(line: str) -> Column:
+    """Hashes of the distinct lower-cased words, in no order. 64 bits tell the words of a corpus apart."""
+    words = F.split(F.translate(F.lower(F.col(line)), _GAPS, " " * len(_GAPS)), " ", -1)
+    return F.array_remove(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))), F.expr(_NO_WORD))
 
 
 def split_lines(docs: DataFrame, min_tokens: int) -> DataFrame:
     """(doc, line_no, line, h): lines with enough distinct words and the hash of their sets; a null id sorts first."""
     each = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST)).alias("doc"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line_no", "line"))
-    words = each.withColumn("w", _words("line")).where(F.size("w") >= max(1, min_tokens))
+    words = each.withColumn("w", _ids("line")).where(F.size("w") >= max(1, min_tokens))
     return words.select("doc", "line_no", "line", F.xxhash64(F.sort_array("w")).alias("h"))
 
 
@@ -41,7 +48,7 @@ def _frequencies(classes: DataFrame) -> str:
     A word never counts as rarer than it is; a rare word that shares the bucket of a frequent one comes late, which costs
     time only.
     """
-    counts = classes.select(F.explode(_words("line")).alias("w")).groupBy(F.xxhash64("w").alias("k")).agg(F.count("*").alias("n"))
+    counts = classes.select(F.explode(_ids("line")).alias("k")).groupBy("k").agg(F.count("*").alias("n"))
     code = F.least(F.lit(255), F.floor(8 * F.log2("n"))).cast("int")
     rows = counts.groupBy(F.expr(f"cast(k & {BUCKETS - 1}L as int)").alias("b")).agg(F.max(code).alias("c")).collect()  # BUCKETS rows at most
     table = [0] * BUCKETS
@@ -54,18 +61,21 @@ def _sized(classes: DataFrame, table: str) -> DataFrame:
     """(doc, line_no, n, b1, b2, ids): ids in the global order, as longs of the frequency above 52 bits of the hash."""
     freq = f"cast(split('{table}', ',') as array<bigint>)"
     key = f"shiftleft(element_at({freq}, cast(w & {BUCKETS - 1}L as int) + 1), 52) | (w & 4503599627370495L)"
-    hashed = classes.select("doc", "line_no", F.transform(_words("line"), lambda w: F.xxhash64(w)).alias("w"))
+    hashed = classes.select("doc", "line_no", _ids("line").alias("w"))
 
-    def parity(half: int) -> Column:
-        return F.expr(f"aggregate(filter(w, x -> ((x >> 58) & 1) = {half}), 0L, (a, x) -> a ^ shiftleft(1L, cast((x >> 52) & 63 as int)))")
+    def parity(bits: int) -> Column:
+        return F.expr(f"aggregate(w, 0L, (a, x) -> a ^ shiftleft(1L, cast((x >> {bits}) & 63 as int)))")
 
-    return hashed.select("doc", "line_no", F.size("w").alias("n"), parity(0).alias("b1"), parity(1).alias("b2"), F.sort_array(F.expr(f"transform(w, w -> {key})")).alias("ids"))
+    return hashed.select("doc", "line_no", F.size("w").alias("n"), parity(58).alias("b1"), parity(52).alias("b2"), F.sort_array(F.expr(f"transform(w, w -> {key})")).alias("ids"))
 
 
 def _postings(classes: DataFrame, table: str, percent: int) -> DataFrame:
     """(token, doc, line_no, n, place, b1, b2): the probe prefix of each class, one row a word."""
     probe = f"n - cast(ceil({percent} * n / 100D) as int) + 1"
-    return _sized(classes, table).selectExpr("doc", "line_no", "n", "b1", "b2", f"posexplode(slice(ids, 1, {probe})) as (place, token)").select("token", "doc", "line_no", "n", "place", "b1", "b2")
+    some = _sized(classes, table).selectExpr("doc", "line_no", "n", "b1", "b2", f"posexplode(slice(ids, 1, {probe})) as (place, token)")
+    # Columns that cannot be null keep the optimizer from filtering one use of the postings and not another, so all uses
+    # share one exchange.
+    return some.selectExpr(*(f"coalesce({c}, {zero}) as {c}" for c, zero in (("token", "0L"), ("doc", "0L"), ("line_no", "0"), ("n", "0"), ("place", "0"), ("b1", "0L"), ("b2", "0L"))))
 
 
 def _possible(x: str, y: str, percent: int) -> Column:
@@ -75,7 +85,7 @@ def _possible(x: str, y: str, percent: int) -> Column:
     return F.expr(
         f"100 * least({x}.n, {y}.n) >= {percent} * greatest({x}.n, {y}.n)"
         f" and {x}.n - {x}.place >= {needed} and {y}.n - {y}.place >= {needed}"
-        f" and bit_count({x}.b1 ^ {y}.b1) + bit_count({x}.b2 ^ {y}.b2) <= {total} - 2 * {needed}"
+        f" and bit_count({x}.b1 ^ {y}.b1) <= {total} - 2 * {needed} and bit_count({x}.b2 ^ {y}.b2) <= {total} - 2 * {needed}"
     )
 
 
@@ -93,7 +103,7 @@ def _verify(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     left = text.select(F.col("doc").alias("x_doc"), F.col("line_no").alias("x_line_no"), F.col("line").alias("x_line"))
     right = text.select(F.col("doc").alias("y_doc"), F.col("line_no").alias("y_line_no"), F.col("line").alias("y_line"))
     both = pairs.distinct().join(left, ["x_doc", "x_line_no"]).join(right, ["y_doc", "y_line_no"])
-    x, y = _words("x_line"), _words("y_line")
+    x, y = _ids("x_line"), _ids("y_line")
     sets = both.select("y_doc", "y_line_no", x.alias("x"), y.alias("y"))
     shared = F.size(F.array_intersect("x", "y"))
     return sets.where(100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("y_doc", "y_line_no").distinct()
@@ -104,6 +114,7 @@ def later_matches(classes: DataFrame, percent: int) -> DataFrame:
     spark = classes.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = _frequencies(classes)
+    release(spark)
     lists = _postings(classes, table, percent).repartition(parts, "token")
     whole = Window.partitionBy("token")
     first = F.min(F.struct("doc", "line_no", "n", "place", "b1", "b2")).over(whole)
