@@ -103,7 +103,7 @@ def fit_domains(docs: DataFrame, labels: DataFrame, domain_col: str = "quality",
         return domains, None
     if total > max_rows:
         known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 20)) < F.lit(int((1 << 20) * max_rows / total)))
-    some = docs.select("doc_id", "text").join(known, "doc_id")
+    some = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # about max_rows ids at most
     number = {d: i for i, d in enumerate(domains)}
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -117,7 +117,7 @@ def fit_domains(docs: DataFrame, labels: DataFrame, domain_col: str = "quality",
             x = np.stack([np.frombuffer(b, np.float32) for b in rows["x"]])
             yield pd.DataFrame({"w": [train(x, rows["domain"].to_numpy(np.int64), len(domains)).pack()]})
 
-    found = some.mapInPandas(encode, "key long, domain int, x binary").coalesce(1).mapInPandas(learn, "w array<double>").collect()
+    found = some.mapInPandas(encode, "key long, domain int, x binary").repartition(1).mapInPandas(learn, "w array<double>").collect()
     return domains, list(found[0]["w"]) if found else None
 
 

@@ -205,7 +205,7 @@ def fit_rules(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_FIT_ROWS)
     total = clean.count()
     if total > max_rows:
         clean = clean.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(int((1 << 20) * max_rows / total)))
-    some = docs.select("doc_id", "text").join(clean, "doc_id")
+    some = docs.select("doc_id", "text").join(F.broadcast(clean), "doc_id")  # about max_rows ids at most
     rows = text_counts(some).drop("text").orderBy(F.xxhash64("doc_id"), "doc_id").toPandas()
     rows = rows[~((rows["n_words"] < 20) | (100 * rows["n_repeat_words"] > 30 * rows["n_words"]))].reset_index(drop=True)
     return learn_list(rows, (rows["quality"] == 0).to_numpy())

@@ -138,7 +138,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_rows:
     total = known.count()
     if total > max_rows:
         known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) < F.lit(int((1 << 20) * max_rows / total)))
-    some = docs.select("doc_id", "text").join(known, "doc_id")
+    some = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # about max_rows ids at most
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -160,7 +160,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_rows:
             yield pd.DataFrame({"at": where.astype(np.int64), "w": w})
 
     encoded = some.mapInPandas(encode, f"doc_id {dict(some.dtypes)['doc_id']}, label int, at binary")
-    found = encoded.coalesce(1).mapInPandas(learn, "at long, w double").toPandas()
+    found = encoded.repartition(1).mapInPandas(learn, "at long, w double").toPandas()
     return found["at"].to_numpy(np.int64), found["w"].to_numpy(float)
 
 
