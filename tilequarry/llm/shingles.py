@@ -247,9 +247,9 @@ def sketch(tokens: np.ndarray) -> bytes:
     return np.packbits(np.bincount((tokens >> np.uint64(20)) & np.uint64(SKETCH - 1), minlength=SKETCH).astype(np.uint8) & 1).tobytes()
 
 
-def _texts(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(d1, d2, text, sketch) of the sets in wanted (d1, d2, xh); a bitmap of fixed size spares most other texts the
-    shuffle."""
+def _marked(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(xh, text) of the documents whose text hash is in wanted, and perhaps of some others: a bitmap of fixed size is
+    held against every text, so most others go no further."""
     bits = wanted.selectExpr(f"shiftright(pmod(xh, {BITS}L), 5) as at", "shiftleft(1L, cast(pmod(xh, 32L) as int)) as b")
     words = bits.groupBy("at").agg(F.bit_or("b").alias("b")).toPandas()
     bitmap = np.zeros(BITS >> 5, np.uint32)
@@ -269,20 +269,46 @@ def _texts(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
             if keep.any():
                 yield batch.filter(pa.array(keep))
 
-    some = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("xh"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "xh long, text string")
-    found = some.join(wanted, "xh").groupBy("d1", "d2").agg(F.first("text").alias("text"))
+    return docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("xh"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "xh long, text string")
+
+
+def _sketches(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """(d1, d2, n, sketch) of the sets in wanted (d1, d2, xh); the texts stay where they are."""
 
     def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [sketch(shingle_set(t.as_py(), n)) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary())], ["d1", "d2", "text", "sketch"])
+            sets = [shingle_set(t.as_py(), n) for t in batch.column("text")]
+            ids = [digest(s) for s in sets]
+            columns = [pa.array([d[0] for d in ids], pa.int64()), pa.array([d[1] for d in ids], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([sketch(s) for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["d1", "d2", "n", "sketch"])
+
+    found = _marked(docs, wanted).mapInArrow(drawn, "d1 long, d2 long, n int, sketch binary")
+    return found.groupBy("d1", "d2").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")).join(wanted.select("d1", "d2"), ["d1", "d2"], "left_semi")
+
+
+def _plausible(edges: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Those of edges (x1, x2, y1, y2) whose bitmaps allow a link."""
+    left = sketches.select(F.col("d1").alias("x1"), F.col("d2").alias("x2"), F.col("n").alias("xn"), F.col("sketch").alias("xs"))
+    right = sketches.select(F.col("d1").alias("y1"), F.col("d2").alias("y2"), F.col("n").alias("yn"), F.col("sketch").alias("ys"))
+    both = edges.join(left, ["x1", "x2"]).join(right, ["y1", "y2"]).select("x1", "x2", "y1", "y2", "xn", "yn", "xs", "ys")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, xs, ys = (batch.column(i).to_pylist() for i in range(4, 8))
+            apart = [(int.from_bytes(x, "little") ^ int.from_bytes(y, "little")).bit_count() for x, y in zip(xs, ys, strict=True)]
+            keep = [d * (100 + percent) <= (i + j) * (100 - percent) for d, i, j in zip(apart, a, b, strict=True)]
+            yield batch.select(["x1", "x2", "y1", "y2"]).filter(pa.array(keep, pa.bool_()))
 
-    return found.select("d1", "d2", "text").mapInArrow(drawn, "d1 long, d2 long, text string, sketch binary")
+    return both.mapInArrow(run, "x1 long, x2 long, y1 long, y2 long")
 
 
-def _verify(edges: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """Those of edges (x1, x2, y1, y2) whose sets are linked. A pivot y of many members is spread over several tasks."""
+def _verify(edges: DataFrame, docs: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFrame:
+    """Those of edges (x1, x2, y1, y2) whose sets are linked; sets: (d1, d2, xh). A pivot y of many members is spread
+    over several tasks."""
     parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ends = edges.select(F.col("x1").alias("d1"), F.col("x2").alias("d2")).unionByName(edges.select(F.col("y1").alias("d1"), F.col("y2").alias("d2"))).distinct()
+    wanted = materialise(ends.join(sets, ["d1", "d2"]).select("d1", "d2", "xh"), "wanted")
+    texts = materialise(_marked(docs, wanted).join(wanted, "xh").groupBy("d1", "d2").agg(F.first("text").alias("text")), "texts")
     fans = edges.groupBy("y1", "y2").agg(F.count("*").alias("_n"))
     fans = fans.select("y1", "y2", F.ceil(F.col("_n") / F.lit(float(FAN))).cast("int").alias("_fan"))
     left = texts.select(F.col("d1").alias("x1"), F.col("d2").alias("x2"), "text")
@@ -363,13 +389,13 @@ class _Window:
         return [x for x in found if self.comp[x[1]] != comp]
 
 
-def _crossing(lists: DataFrame, labels: DataFrame, texts: DataFrame, percent: int, closest: bool) -> DataFrame:
+def _crossing(lists: DataFrame, labels: DataFrame, sketches: DataFrame, percent: int, closest: bool) -> DataFrame:
     """(x1, x2, y1, y2): pairs of one list whose components differ, and whose sizes and bitmaps allow a link; with
     closest, of each entry's pairs in a list only the one whose bitmaps differ least."""
     parts = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     known = lists.select("sig", "d1", "d2", "n").join(labels, ["d1", "d2"], "left").select("sig", "n", "d1", "d2", F.coalesce("c1", "d1").alias("c1"), F.coalesce("c2", "d2").alias("c2"))
     mixed = known.groupBy("sig").agg(F.min("c1").alias("a"), F.max("c1").alias("b"), F.min("c2").alias("c"), F.max("c2").alias("d")).where("a <> b or c <> d").select("sig")
-    drawn = known.join(mixed, "sig").join(texts.select("d1", "d2", "sketch"), ["d1", "d2"])
+    drawn = known.join(mixed, "sig").join(sketches.select("d1", "d2", "sketch"), ["d1", "d2"])
     dealt = drawn.select("sig", "n", "d1", "d2", "c1", "c2", "sketch").repartition(parts, "sig").sortWithinPartitions("sig", "n", "d1", "d2")
     names = ["x1", "x2", "y1", "y2"]
 
@@ -426,17 +452,17 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     rows = profiles.where("chunk < 0").select("doc_id", "n_shingles", "d1", "d2", "xh")
     lists = materialise(_lists(_index(docs, n, percent, _frequencies(profiles)), percent), "lists")
     sets = rows.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.min("xh").alias("xh"))
-    wanted = lists.select("d1", "d2").distinct().join(sets, ["d1", "d2"]).select("d1", "d2", "xh")
-    texts = materialise(_texts(docs, wanted, n), "texts")
+    wanted = materialise(lists.select("d1", "d2").distinct().join(sets, ["d1", "d2"]).select("d1", "d2", "xh"), "wanted")
+    sketches = materialise(_sketches(docs, wanted, n), "sketches")
     stars = lists.where("p1 is not null").select(F.col("d1").alias("x1"), F.col("d2").alias("x2"), F.col("p1").alias("y1"), F.col("p2").alias("y2")).distinct()
-    found = materialise(_verify(materialise(stars, "stars"), texts, n, percent), "links")
+    found = materialise(_verify(materialise(_plausible(stars, sketches, percent), "stars"), docs, wanted, n, percent), "links")
     labels = components(found)
     # What the pivots left apart: first each entry with the closest entry of another component, then, between what is
     # still apart, all pairs that can be linked.
-    near = materialise(_crossing(lists, labels, texts, percent, closest=True), "near")
-    found, labels = _grown(found, labels, _verify(near, texts, n, percent))
-    rest = materialise(_crossing(lists, labels, texts, percent, closest=False).join(near, ["x1", "x2", "y1", "y2"], "left_anti"), "rest")
-    found, labels = _grown(found, labels, _verify(rest, texts, n, percent))
+    near = materialise(_crossing(lists, labels, sketches, percent, closest=True), "near")
+    found, labels = _grown(found, labels, _verify(near, docs, wanted, n, percent))
+    rest = materialise(_crossing(lists, labels, sketches, percent, closest=False).join(near, ["x1", "x2", "y1", "y2"], "left_anti"), "rest")
+    found, labels = _grown(found, labels, _verify(rest, docs, wanted, n, percent))
     named = sets.join(labels, ["d1", "d2"], "left").select("d1", "d2", "first", F.coalesce("c1", "d1").alias("c1"), F.coalesce("c2", "d2").alias("c2"))
     least = named.groupBy("c1", "c2").agg(F.min("first").alias("component_id"))
     classes = named.join(least, ["c1", "c2"]).select("d1", "d2", "component_id")
