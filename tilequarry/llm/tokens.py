@@ -34,9 +34,9 @@ SPACE, LETTER, DIGIT, OTHER, QUOTE1, QUOTE2, RESET = range(7)
 FREE, IN_LETTERS, IN_OTHER, LEFT2, LEFT1 = range(5)
 CHUNK = 64
 #: Code points of a batch that are scanned together; a longer text makes a batch of its own.
-SCAN_POINTS = 1 << 21
+SCAN_POINTS = 1 << 20
 #: Entries after which a worker's lazily compiled states and memoised words are dropped and built anew.
-MAX_STATES, MAX_WORDS = 250_000, 250_000
+MAX_STATES, MAX_WORDS = 120_000, 150_000
 
 # The white space of Unicode, and the endings that an apostrophe starts.
 WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
