@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .sharding import PRIME, round_keys
+
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _WORDS = r"list_filter(string_split_regex({}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
@@ -40,3 +42,28 @@ k AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) FILTER (WHERE stays) A
 SELECT z.doc_id, CASE WHEN z.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text, coalesce(k.n_lines, 0)::INTEGER AS n_lines, coalesce(k.n_removed, 0)::INTEGER AS n_removed FROM documents z LEFT JOIN k USING (doc_id)"""
 
 ORACLE_SQL: dict[str, str] = {"op3_line_dedup": LINE_DEDUP, "op6_exact_top_k": TOP_K, "op10_ngram_jaccard": NGRAM_JACCARD}
+
+
+def _passes(source: str) -> str:
+    """One pass of the permutation over p in a relation (id, size, crc, p, n, a, b), one nested SELECT a round."""
+    keep = "doc_id, size, text_crc32, n, a, b"
+    out = f"(SELECT {keep}, p % a AS l, p // a AS r FROM {source})"
+    for i, (k1, k2) in enumerate(round_keys(42)):
+        here, there, side = ("r", "l", "a") if i % 2 == 0 else ("l", "r", "b")
+        once = f"(SELECT *, ({here} + {k1}) % {PRIME} AS s FROM {out})"
+        twice = f"(SELECT * EXCLUDE (s), (s * s + {k2}) % {PRIME} AS s FROM {once})"
+        out = f"(SELECT * EXCLUDE (s, {there}), ({there} + (s * s) % {PRIME}) % {side} AS {there} FROM {twice})"
+    return f"SELECT {keep}, l + a * r AS p FROM {out}"
+
+
+SHARDING = f"""
+WITH RECURSIVE polynomial AS (SELECT list_transform(range(256), lambda v: list_reduce([v] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t),
+octets AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT) AS o FROM documents),
+sums AS (SELECT doc_id, size::BIGINT AS size, xor(list_reduce([4294967295] || o, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295)::BIGINT AS text_crc32 FROM octets, polynomial),
+total AS (SELECT count(*) AS n FROM documents),
+side AS (SELECT n, a, greatest(1, ceil(n / a)::BIGINT) AS b FROM (SELECT n, (floor(sqrt(greatest(n - 1, 0))) + 1)::BIGINT AS a FROM total)),
+numbered AS (SELECT doc_id, size, text_crc32, row_number() OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS p, n, a, b FROM sums, side),
+walk AS ({_passes("numbered")} UNION ALL {_passes("(SELECT * FROM walk WHERE p >= n)")})
+SELECT doc_id, size, text_crc32, 'rows' AS law, (p % 16)::INTEGER AS shard, (p // 16)::BIGINT AS slot, NULL::INTEGER AS grown_shard FROM walk WHERE p < n"""
+
+ORACLE_SQL["op5_sharding"] = SHARDING
