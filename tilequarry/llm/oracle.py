@@ -67,3 +67,12 @@ walk AS ({_passes("numbered")} UNION ALL {_passes("(SELECT * FROM walk WHERE p >
 SELECT doc_id, size, text_crc32, 'rows' AS law, (p % 16)::INTEGER AS shard, (p // 16)::BIGINT AS slot, NULL::INTEGER AS grown_shard FROM walk WHERE p < n"""
 
 ORACLE_SQL["op5_sharding"] = SHARDING
+
+# For pages whose text stands in one article element without inner menus, forms or comments, as in the test tables.
+HTML_ARTICLES = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1) AS body FROM pages),
+t AS (SELECT page_id, url, regexp_replace(regexp_replace(body, '</?b>', '', 'g'), '<[^>]*>', ' ', 'g') AS body FROM a),
+e AS (SELECT page_id, url, replace(replace(replace(replace(replace(body, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&amp;', '&') AS body FROM t)
+SELECT page_id, url, trim(regexp_replace(body, '\s+', ' ', 'g')) AS text, length(trim(regexp_replace(body, '\s+', ' ', 'g'))) AS n_chars FROM e"""
+
+ORACLE_SQL["op8_html_extraction"] = HTML_ARTICLES
