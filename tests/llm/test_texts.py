@@ -127,6 +127,19 @@ def test_differencing_of_pages_without_article(spark):
     assert html.extract_text(df.limit(0)).count() == 0
 
 
+def test_differencing_of_pages_with_article(spark):
+    def page(i, kind="post"):
+        return f"<body><p>Top</p><h1>Title {i}</h1><article class='{kind}'><p>Story {i}</p><p>Both say this</p></article><p>Subscribe</p></body>"
+
+    rows = [(i, f"http://h.org/a/{i}", page(i)) for i in range(3)] + [(i, f"http://g.org/a/{i}", page(i, "related")) for i in range(3, 6)]
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        got = dict(html.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).select("page_id", "text").collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got == {i: f"Title {i} Story {i}" + " Both say this" * (i < 3) for i in range(6)}
+
+
 def test_articles_of_the_pages(spark, small):
     import re
     from html import unescape

@@ -1,4 +1,4 @@
-"""Main text of web pages: structure first, then differencing against the page of the nearest URL on the same host."""
+"""Main text of web pages: differencing against the page of the nearest URL on the same host, checked by the structure."""
 
 from __future__ import annotations
 
@@ -46,7 +46,8 @@ def page_lines(html: str | None) -> list[tuple[str, bool]]:
     """Blocks of text in page order, each with whether it stands in an article or main element.
 
     Elements whose name or whose class, id or role says that they are not the article are left out with all they hold;
-    an unclosed element ends with its parent.
+    an article or main element so marked is read, but its blocks count as outside. An unclosed element ends with its
+    parent.
     """
     out: list[tuple[str, bool]] = []
     words: list[str] = []
@@ -115,13 +116,14 @@ def page_lines(html: str | None) -> list[tuple[str, bool]]:
         skipped, root = state()
         if name in VOID or m[0].endswith("/>") and name not in RAW:
             continue
-        drop = skipped or (name in SKIPPED and not (name == "header" and root)) or (name not in ("html", "body") and name not in ROOTS and _marked(m[3]))
+        marked = name not in ("html", "body") and _marked(m[3])
+        drop = skipped or (name in SKIPPED and not (name == "header" and root)) or (marked and name not in ROOTS)
         if name in RAW:
             close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, at)
             if name == "title" or drop:
                 at = close.end() if close else len(html)
                 continue
-        stack.append((name, drop, root or (name in ROOTS and not drop)))
+        stack.append((name, drop, not marked if name in ROOTS else root))
     flush()
     return out
 
@@ -166,12 +168,13 @@ def shared_lines(mine: list[str], other: list[str]) -> set[int]:
     return out
 
 
-def main_text(lines: list[str], other: list[str] | None) -> str:
-    """Lines without those shared with the paired page; if all are shared, the pages are copies and nothing goes."""
-    gone = shared_lines(lines, other) if other else set()
+def main_text(lines: list[str], roots: list[bool], other: list[str] | None) -> str:
+    """Lines without those shared with the paired page, but for what stands in an article or main element; if all lines
+    are shared, the pages are copies and nothing goes."""
+    gone = shared_lines(lines, other) if other and not all(roots) else set()
     if len(gone) == len(lines):
         gone = set()
-    return " ".join(x for i, x in enumerate(lines) if i not in gone)
+    return " ".join(x for i, x in enumerate(lines) if roots[i] or i not in gone)
 
 
 def split_url(url):
@@ -183,16 +186,15 @@ def split_url(url):
 
 
 def _pair(rows: Iterator[tuple]) -> Iterator[tuple]:
-    """Rows (keep..., host, path, lines, text) in URL order, with the text of each worked out against its neighbour."""
+    """Rows (keep..., host, path, lines, roots) in URL order, with the text of each worked out against its neighbour."""
 
     def done(before: tuple | None, row: tuple, after: tuple | None) -> tuple:
-        *keep, host, path, lines, text = row
-        if text is None:
-            best, other = -1, None
-            for near in (before, after):
-                if near is not None and near[-4] == host and (n := len(commonprefix([near[-3], path]))) > best:
-                    best, other = n, near[-2]
-            text = main_text(list(lines), None if other is None else list(other))
+        *keep, host, path, lines, roots = row
+        best, other = -1, None
+        for near in (before, after):
+            if near is not None and near[-4] == host and (n := len(commonprefix([near[-3], path]))) > best:
+                best, other = n, near[-2]
+        text = main_text(lines, roots, other)
         return (*keep, text, len(text))
 
     before, row = None, None
@@ -210,33 +212,32 @@ def extract_text(pages: DataFrame) -> DataFrame:
     Pages are put in the order of host and path, by ranges over all pages, so that a host with a third of all pages is
     spread over many tasks. Each is paired with the neighbour on the same host that shares the longer start of the path
     (ties: the one before; a page at the edge of a range has one neighbour). The pair's text lines are aligned by a
-    longest common subsequence and shared lines go. Lines that the markup itself settles are not put to that test:
-    what stands in an article or main element is the text of its page, copies of it on other pages included, and what
-    stands in a menu, header, footer, sidebar, notice, advert, form or comment is never text.
+    longest common subsequence and shared lines go, but for two kinds of lines that the markup settles: what stands in an
+    article or main element stays, and what stands in a menu, header, footer, sidebar, notice, advert, form or comment is
+    never text.
 
     A null html or one without text gives an empty text; a null url counts as empty (such pages are one host);
     repeated rows stay; other columns stay, and columns named text or n_chars are replaced; an empty table gives an
     empty table.
     """
     need(pages, "url", "html")
-    pages = pages.drop("text", "n_chars", "_host", "_path", "_lines", "_text")
+    pages = pages.drop("text", "n_chars", "_host", "_path", "_lines", "_roots")
     keep = [f for f in pages.schema.fields if f.name != "html"]
     names = [f.name for f in keep]
     host, path = split_url(F.col("url"))
     placed = pages.select(*names, host.alias("_host"), path.alias("_path"), "html")
-    parsed_schema = T.StructType([*keep, T.StructField("_host", T.StringType()), T.StructField("_path", T.StringType()), T.StructField("_lines", T.ArrayType(T.StringType())), T.StructField("_text", T.StringType())])
+    parsed_schema = T.StructType([*keep, T.StructField("_host", T.StringType()), T.StructField("_path", T.StringType()), T.StructField("_lines", T.ArrayType(T.StringType())), T.StructField("_roots", T.ArrayType(T.BooleanType()))])
     out_schema = T.StructType([*keep, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lines, texts = [], []
+            lines, roots = [], []
             for h in batch.column("html"):
                 found = page_lines(h.as_py())
-                root = any(r for _, r in found)
-                lines.append([x for x, r in found if not r])
-                texts.append(" ".join(x for x, r in found if r) if root else None)
-            columns = [*(batch.column(c) for c in (*names, "_host", "_path")), pa.array(lines, pa.list_(pa.string())), pa.array(texts, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, [*names, "_host", "_path", "_lines", "_text"])
+                lines.append([x for x, _ in found])
+                roots.append([r for _, r in found])
+            columns = [*(batch.column(c) for c in (*names, "_host", "_path")), pa.array(lines, pa.list_(pa.string())), pa.array(roots, pa.list_(pa.bool_()))]
+            yield pa.RecordBatch.from_arrays(columns, [*names, "_host", "_path", "_lines", "_roots"])
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types: list = []
