@@ -140,6 +140,25 @@ def test_differencing_of_pages_with_article(spark):
     assert got == {i: f"Title {i} Story {i}" + " Both say this" * (i < 3) for i in range(6)}
 
 
+@pytest.mark.parametrize("parts", [1, 7, 40])
+def test_copies_and_range_edges_keep_no_boilerplate(spark, parts):
+    def page(*lines):
+        return "<body>" + "".join(f"<p>{x}</p>" for x in ("Top", *lines, "Subscribe")) + "</body>"
+
+    rows = [(i, f"http://h.org/a/{i:03}", page(f"Text {i}" if i % 10 == 0 else "Copied text")) for i in range(150)]
+    rows += [(1000 + i, f"http://h.org/c/{i:03}", page("Large group")) for i in range(100)]
+    rows += [(2000 + i, "http://same.org/", page(f"Own {i}")) for i in range(50)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        got = dict(html.extract_text(df).select("page_id", "text").collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert len(got) == 300
+    for i, text in got.items():
+        assert text == ("Large group" if 1000 <= i < 2000 else f"Own {i - 2000}" if i >= 2000 else f"Text {i}" if i % 10 == 0 else "Copied text")
+
+
 def test_articles_of_the_pages(spark, small):
     import re
     from html import unescape

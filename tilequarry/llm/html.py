@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import html as entities
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from hashlib import blake2b
 from os.path import commonprefix
 
 import pyarrow as pa
@@ -170,7 +171,7 @@ def shared_lines(mine: list[str], other: list[str]) -> set[int]:
 
 def main_text(lines: list[str], roots: list[bool], other: list[str] | None) -> str:
     """Lines without those shared with the paired page, but for what stands in an article or main element; if all lines
-    are shared, the pages are copies and nothing goes."""
+    are shared, the page is part of the other and nothing goes."""
     gone = shared_lines(lines, other) if other and not all(roots) else set()
     if len(gone) == len(lines):
         gone = set()
@@ -185,59 +186,147 @@ def split_url(url):
     return host, path
 
 
+def page_mark(host: str, lines: list[tuple[str, bool]]) -> int:
+    """64-bit hash of host and lines: pages of one mark are copies."""
+    return int.from_bytes(blake2b("\n".join([host, *(f"{r:d}{x}" for x, r in lines)]).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
+def _end(ends: list, key: tuple, mark: int, sign: int) -> None:
+    """Take a page into ends: the outermost page so far, and the outermost one of another mark."""
+    if not ends:
+        ends.append((key, mark))
+    elif key != ends[0][0] and (key < ends[0][0]) == (sign < 0):
+        ends[:] = [(key, mark), *(ends[:1] if ends[0][1] != mark else ends[1:])]
+    elif mark != ends[0][1] and (len(ends) == 1 or (key != ends[1][0] and (key < ends[1][0]) == (sign < 0))):
+        ends[1:] = [(key, mark)]
+
+
+def carried(ends: dict[int, tuple[list, list]]) -> dict[tuple, list[int]]:
+    """For the keys of pages that other ranges need, those ranges: for each range the nearest page before and after it
+    that differs from its first or last page, on the same host. ends: range to its first and last pages, see _end."""
+    out: dict[tuple, list[int]] = {}
+    order = sorted(ends)
+    for side, ranges in ((0, order), (1, order[::-1])):
+        for i, r in enumerate(ranges):
+            key, mark = ends[r][side][0]
+            for j in range(i - 1, -1, -1):
+                found = next((k for k, m in ends[ranges[j]][1 - side] if m != mark), None)
+                if found is not None:
+                    if found[0] == key[0]:
+                        out.setdefault(found, []).append(r)
+                    break
+    return out
+
+
 def _pair(rows: Iterator[tuple]) -> Iterator[tuple]:
-    """Rows (keep..., host, path, lines, roots) in URL order, with the text of each worked out against its neighbour."""
-
-    def done(before: tuple | None, row: tuple, after: tuple | None) -> tuple:
-        *keep, host, path, lines, roots = row
-        best, other = -1, None
-        for near in (before, after):
-            if near is not None and near[-4] == host and (n := len(commonprefix([near[-3], path]))) > best:
-                best, other = n, near[-2]
-        text = main_text(lines, roots, other)
-        return (*keep, text, len(text))
-
-    before, row = None, None
-    for after in rows:
-        if row is not None:
-            yield done(before, row, after)
-        before, row = row, after
-    if row is not None:
-        yield done(before, row, None)
+    """Rows (keep..., range, carried, host, path, lines, roots) in URL order, those of the range itself with the text that
+    is left against the nearest differing page before or after. A run of copies is held without their lines."""
+    before, run, mine = None, [], None  # (path, lines) of the last page of another run; rows; (range, host, lines, roots)
+
+    def settle(after: tuple | None) -> Iterator[tuple]:
+        texts: dict[bool, str] = {}
+        for keep, path, ghost in run:
+            if ghost:
+                continue
+            near = [(-1 if x is None else len(commonprefix([x[0], path]))) for x in (before, after)]
+            late = near[1] > near[0]
+            if late not in texts:
+                other = after if late else before
+                texts[late] = main_text(mine[2], mine[3], None if other is None else other[1])
+            yield (*keep, texts[late], len(texts[late]))
+
+    for *keep, block, ghost, host, path, lines, roots in rows:
+        if mine is None or mine != (block, host, lines, roots):
+            same = mine is not None and mine[:2] == (block, host)
+            if mine is not None:
+                yield from settle((path, lines) if same else None)
+            before = (run[-1][1], mine[2]) if same else None
+            run, mine = [], (block, host, lines, roots)
+        run.append((keep, path, ghost))
+    if mine is not None:
+        yield from settle(None)
+
+
+#: Pages of the sample a range; it only places the bounds.
+SAMPLE = 20
+_KEY = ("_host", "_path", "_url", "_salt")
+_END = "range int, side int, host string, path string, url string, salt long, mark long"
+
+
+def _ends_of(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    """First and last pages (two of each at most) of the ranges of rows (range, side, key..., mark); side None: either."""
+    ends: dict[int, tuple[list, list]] = {}
+    for block, side, *key, mark in rows:
+        for s in (0, 1) if side is None else (side,):
+            _end(ends.setdefault(block, ([], []))[s], tuple(key), mark, (-1, 1)[s])
+    out = [(b, s, *key, mark) for b, both in ends.items() for s in (0, 1) for key, mark in both[s]]
+    names = ["range", "side", "host", "path", "url", "salt", "mark"]
+    kinds = [pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()]
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
     """pages without html, with text (main text of the whole html) and n_chars (its code points).
 
-    Pages are put in the order of host and path, by ranges over all pages, so that a host with a third of all pages is
-    spread over many tasks. Each is paired with the neighbour on the same host that shares the longer start of the path
-    (ties: the one before; a page at the edge of a range has one neighbour). The pair's text lines are aligned by a
-    longest common subsequence and shared lines go, but for two kinds of lines that the markup settles: what stands in an
-    article or main element stays, and what stands in a menu, header, footer, sidebar, notice, advert, form or comment is
-    never text.
+    Pages are put in the order of host, path and url, by ranges over all pages, so that a host with a third of all pages
+    is spread over many tasks. Each is paired with the nearest page before or after it on the same host whose lines
+    differ, the one that shares the longer start of the path (ties: the one before); copies in between are passed over,
+    and pages that a range needs of others are carried to it, so the result does not depend on the ranges. The pair's
+    text lines are aligned by a longest common subsequence and shared lines go, but for two kinds of lines that the
+    markup settles: what stands in an article or main element stays, and what stands in a menu, header, footer, sidebar,
+    notice, advert, form or comment is never text. A page all whose lines stand in a differing neighbour, in order,
+    keeps them.
 
     A null html or one without text gives an empty text; a null url counts as empty (such pages are one host);
     repeated rows stay; other columns stay, and columns named text or n_chars are replaced; an empty table gives an
-    empty table.
+    empty table. Three passes: a sample for the bounds, the ends of each range, and the texts.
     """
     need(pages, "url", "html")
-    pages = pages.drop("text", "n_chars", "_host", "_path", "_lines", "_roots")
+    pages = pages.drop("text", "n_chars", *_KEY, "_range", "_carried", "_lines", "_roots")
     keep = [f for f in pages.schema.fields if f.name != "html"]
     names = [f.name for f in keep]
     host, path = split_url(F.col("url"))
-    placed = pages.select(*names, host.alias("_host"), path.alias("_path"), "html")
-    parsed_schema = T.StructType([*keep, T.StructField("_host", T.StringType()), T.StructField("_path", T.StringType()), T.StructField("_lines", T.ArrayType(T.StringType())), T.StructField("_roots", T.ArrayType(T.BooleanType()))])
+    hashed = [c for c, kind in pages.dtypes if "map<" not in kind and "variant" not in kind]
+    placed = pages.select(*names, host.alias("_host"), path.alias("_path"), F.coalesce("url", F.lit("")).alias("_url"), F.xxhash64(*hashed).alias("_salt"), "html")
+    spark = pages.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sample = sorted(tuple(r) for r in placed.select(*_KEY).orderBy(F.xxhash64("_salt")).limit(SAMPLE * parts).collect())  # by hash: of no order
+    bounds = sample[:: max(1, -(-len(sample) // parts))][1:]
+
+    def keys(batch: pa.RecordBatch) -> Iterator[tuple]:
+        return zip(*(batch.column(c).to_pylist() for c in _KEY), strict=True)
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _ends_of((bisect_right(bounds, key), None, *key, page_mark(key[0], page_lines(h.as_py()))) for batch in batches for key, h in zip(keys(batch), batch.column("html"), strict=True))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _ends_of(row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+
+    found: dict[int, tuple[list, list]] = {}
+    if bounds:
+        for block, side, *key, mark in placed.select(*_KEY, "html").mapInArrow(ends, _END).repartition(parts, "range").mapInArrow(merge, _END).collect():  # four rows a range at most
+            _end(found.setdefault(block, ([], []))[side], tuple(key), mark, (-1, 1)[side])
+    wanted = carried(found)
+    more = [T.StructField("_range", T.IntegerType()), T.StructField("_carried", T.BooleanType()), *(T.StructField(c, T.LongType() if c == "_salt" else T.StringType()) for c in _KEY), T.StructField("_lines", T.ArrayType(T.StringType())), T.StructField("_roots", T.ArrayType(T.BooleanType()))]
+    parsed_schema = T.StructType([*keep, *more])
     out_schema = T.StructType([*keep, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lines, roots = [], []
-            for h in batch.column("html"):
+            at, blocks, extra, lines, roots = [], [], [], [], []
+            for i, (key, h) in enumerate(zip(keys(batch), batch.column("html"), strict=True)):
                 found = page_lines(h.as_py())
-                lines.append([x for x, _ in found])
-                roots.append([r for _, r in found])
-            columns = [*(batch.column(c) for c in (*names, "_host", "_path")), pa.array(lines, pa.list_(pa.string())), pa.array(roots, pa.list_(pa.bool_()))]
-            yield pa.RecordBatch.from_arrays(columns, [*names, "_host", "_path", "_lines", "_roots"])
+                own = bisect_right(bounds, key)
+                for block in (own, *wanted.get(key, ())):
+                    at.append(i)
+                    blocks.append(block)
+                    extra.append(block != own)
+                    lines.append([x for x, _ in found])
+                    roots.append([r for _, r in found])
+            rows = batch if len(at) == batch.num_rows else batch.take(pa.array(at, pa.int32()))
+            columns = [*(rows.column(c) for c in names), pa.array(blocks, pa.int32()), pa.array(extra, pa.bool_()), *(rows.column(c) for c in _KEY), pa.array(lines, pa.list_(pa.string())), pa.array(roots, pa.list_(pa.bool_()))]
+            yield pa.RecordBatch.from_arrays(columns, [f.name for f in parsed_schema.fields])
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types: list = []
@@ -262,9 +351,6 @@ def extract_text(pages: DataFrame) -> DataFrame:
         if held:
             yield flush()
 
-    spark = pages.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parsed = placed.mapInArrow(parse, parsed_schema).withColumn("_salt", F.xxhash64(F.monotonically_increasing_id()))
-    order = ["_host", "_path", *(c for c in ("page_id", "url") if c in names), "_salt"]
-    ranged = parsed.repartitionByRange(parts, *order).sortWithinPartitions(*order).drop("_salt")
+    parsed = placed.mapInArrow(parse, parsed_schema)
+    ranged = parsed.repartitionById(parts, F.col("_range")).sortWithinPartitions("_range", *_KEY).drop("_url", "_salt")
     return ranged.mapInArrow(pair, out_schema)
