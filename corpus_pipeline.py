@@ -25,8 +25,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that an earlier line matches; a document that is left without any compared line goes."""
-    left = lines.with_text_left(lines.dedup_lines(docs, percent=80, min_tokens=LINE_WORDS), docs.columns, LINE_WORDS)
+    """Documents without lines that an earlier line matches; a document that is left without any word goes."""
+    left = lines.with_text_left(lines.dedup_lines(docs, percent=80, min_tokens=LINE_WORDS), docs.columns)
     return left.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(dict(docs.dtypes)["n_chars"])).select(*docs.columns)
 
 

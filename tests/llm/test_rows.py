@@ -64,6 +64,14 @@ def test_line_dedup_odd_rows(spark):
     assert lines.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_line_dedup_stage_keeps_documents_of_short_lines(spark):
+    notice = "this line is a license notice that all share"
+    rows = [(1, notice + "\nMore.", "en"), (2, notice + "\n- Who is there?\n- Me.", "en"), (3, notice, "en"), (4, notice + "\n\n  ", "en"), (5, "", "en"), (6, None, None)]
+    df = spark.createDataFrame([(*r, "s", 0) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_repeated_lines(spark, df, "").collect()}
+    assert got == {1: rows[0][1], 2: "- Who is there?\n- Me.", 5: "", 6: None}
+
+
 def _pack(sizes, sources, clusters, capacity, share):
     bins, most, out = [], max(1, int(capacity * share)), {}
     for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):

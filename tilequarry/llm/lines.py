@@ -167,9 +167,9 @@ def dedup_lines(docs: DataFrame, percent: int = 80, min_tokens: int = 1) -> Data
     return keyed.select(*(text.alias(c) if c == "text" else F.col(c) for c in names), F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).alias("n_lines"), F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).alias("n_removed"))
 
 
-def with_text_left(deduped: DataFrame, columns: list[str], min_tokens: int = 1) -> DataFrame:
-    """Rows of a deduplicated table, but for those that lost lines and keep none that was compared: they are copies of
-    what stands elsewhere. Documents that lost nothing stay, empty ones included."""
-    words = F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: F.size(F.array_distinct(F.filter(F.split(F.lower(x), WORD_GAP, -1), lambda w: w != ""))))
-    left = F.exists(words, lambda n: n >= max(1, min_tokens))
-    return deduped.where((F.col("n_removed") == 0) | left).select(*columns)
+def with_text_left(deduped: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows of a deduplicated table, but for those that lost lines and keep no word: they are copies of what stands
+    elsewhere. A line too short to be compared matches nothing, so it keeps its document. Documents that lost nothing
+    stay, empty ones included."""
+    words = F.filter(F.split(F.coalesce(F.col("text"), F.lit("")), WORD_GAP, -1), lambda w: w != "")
+    return deduped.where((F.col("n_removed") == 0) | (F.size(words) > 0)).select(*columns)
