@@ -64,6 +64,18 @@ def test_line_dedup_odd_rows(spark):
     assert lines.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_rows_that_share_an_id_or_have_none(spark):
+    rows = [(None, "a b c d e\nunique one two three four"), (None, "x y z p q\na b c d e"), (7, "k l m n o\nfirst of seven here"), (7, "r s t u v\nk l m n o")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [r["text"] for r in lines.dedup_lines(df).collect()]
+    assert sorted(line for t in got for line in t.split("\n") if line) == sorted({line for _, t in rows for line in t.split("\n")})
+    assert sum(t.count("a b c d e") for t in got) == sum(t.count("k l m n o") for t in got) == 1
+    rows = [(None, "p q r s t u"), (1, "p q r s t u"), (None, "all other words stand here"), (2, "p q r s t u"), (2, "two has a text more"), (None, "no id but a copy"), (None, "no id but a copy"), (None, None), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["text"]) for r in shingles.keep_one(df).collect()), key=str)
+    assert got == sorted([rows[1], rows[2], rows[4], rows[5], rows[7], rows[8]], key=str)
+
+
 def test_line_dedup_stage_keeps_documents_of_short_lines(spark):
     notice = "this line is a license notice that all share"
     rows = [(1, notice + "\nMore.", "en"), (2, notice + "\n- Who is there?\n- Me.", "en"), (3, notice, "en"), (4, notice + "\n\n  ", "en"), (5, "", "en"), (6, None, None)]

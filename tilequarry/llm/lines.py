@@ -35,11 +35,19 @@ def _ids(line: str) -> Column:
     return F.array_remove(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))), F.expr(_NO_WORD))
 
 
-def split_lines(docs: DataFrame, min_tokens: int) -> DataFrame:
-    """(doc, line_no, line, h): lines with enough distinct words and the hash of their sets; a null id sorts first."""
-    each = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST)).alias("doc"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line_no", "line"))
+def _row(docs: DataFrame) -> tuple[Column, Column]:
+    """(doc, part): what tells rows apart and orders them. doc is the id, a null id the least long; part is the hash of
+    the text if some id has several texts, else 0, which takes no room in the shuffles."""
+    doc, part = F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST)), F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    several = docs.select(doc.alias("doc"), part.alias("part")).groupBy("doc").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a <> b")
+    return doc, F.lit(0).cast("long") if several.isEmpty() else part
+
+
+def split_lines(docs: DataFrame, row: tuple[Column, Column], min_tokens: int) -> DataFrame:
+    """(doc, part, line_no, line, h): lines with enough distinct words and the hash of their sets; for row see _row."""
+    each = docs.select(row[0].alias("doc"), row[1].alias("part"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line_no", "line"))
     words = each.withColumn("w", _ids("line")).where(F.size("w") >= max(1, min_tokens))
-    return words.select("doc", "line_no", "line", F.xxhash64(F.sort_array("w")).alias("h"))
+    return words.select("doc", "part", "line_no", "line", F.xxhash64(F.sort_array("w")).alias("h"))
 
 
 def _frequencies(classes: DataFrame) -> str:
@@ -58,24 +66,24 @@ def _frequencies(classes: DataFrame) -> str:
 
 
 def _sized(classes: DataFrame, table: str) -> DataFrame:
-    """(doc, line_no, n, b1, b2, ids): ids in the global order, as longs of the frequency above 52 bits of the hash."""
+    """(doc, part, line_no, n, b1, b2, ids): ids in the global order, as longs of the frequency above 52 bits of the hash."""
     freq = f"cast(split('{table}', ',') as array<bigint>)"
     key = f"shiftleft(element_at({freq}, cast(w & {BUCKETS - 1}L as int) + 1), 52) | (w & 4503599627370495L)"
-    hashed = classes.select("doc", "line_no", _ids("line").alias("w"))
+    hashed = classes.select("doc", "part", "line_no", _ids("line").alias("w"))
 
     def parity(bits: int) -> Column:
         return F.expr(f"aggregate(w, 0L, (a, x) -> a ^ shiftleft(1L, cast((x >> {bits}) & 63 as int)))")
 
-    return hashed.select("doc", "line_no", F.size("w").alias("n"), parity(58).alias("b1"), parity(52).alias("b2"), F.sort_array(F.expr(f"transform(w, w -> {key})")).alias("ids"))
+    return hashed.select("doc", "part", "line_no", F.size("w").alias("n"), parity(58).alias("b1"), parity(52).alias("b2"), F.sort_array(F.expr(f"transform(w, w -> {key})")).alias("ids"))
 
 
 def _postings(classes: DataFrame, table: str, percent: int) -> DataFrame:
-    """(token, doc, line_no, n, place, b1, b2): the probe prefix of each class, one row a word."""
+    """(token, doc, part, line_no, n, place, b1, b2): the probe prefix of each class, one row a word."""
     probe = f"n - cast(ceil({percent} * n / 100D) as int) + 1"
-    some = _sized(classes, table).selectExpr("doc", "line_no", "n", "b1", "b2", f"posexplode(slice(ids, 1, {probe})) as (place, token)")
+    some = _sized(classes, table).selectExpr("doc", "part", "line_no", "n", "b1", "b2", f"posexplode(slice(ids, 1, {probe})) as (place, token)")
     # Columns that cannot be null keep the optimizer from filtering one use of the postings and not another, so all uses
     # share one exchange.
-    return some.selectExpr(*(f"coalesce({c}, {zero}) as {c}" for c, zero in (("token", "0L"), ("doc", "0L"), ("line_no", "0"), ("n", "0"), ("place", "0"), ("b1", "0L"), ("b2", "0L"))))
+    return some.selectExpr(*(f"coalesce({c}, {zero}) as {c}" for c, zero in (("token", "0L"), ("doc", "0L"), ("part", "0L"), ("line_no", "0"), ("n", "0"), ("place", "0"), ("b1", "0L"), ("b2", "0L"))))
 
 
 def _possible(x: str, y: str, percent: int) -> Column:
@@ -90,60 +98,59 @@ def _possible(x: str, y: str, percent: int) -> Column:
 
 
 def _earlier(x: str, y: str) -> Column:
-    return F.expr(f"{x}.doc < {y}.doc or ({x}.doc = {y}.doc and {x}.line_no < {y}.line_no)")
+    return F.expr(f"{x}.doc < {y}.doc or ({x}.doc = {y}.doc and ({x}.part < {y}.part or ({x}.part = {y}.part and {x}.line_no < {y}.line_no)))")
 
 
 def _ends(x: str = "x", y: str = "y") -> list[Column]:
-    return [F.col(f"{a}.{c}").alias(f"{a}_{c}") for a in (x, y) for c in ("doc", "line_no")]
+    return [F.col(f"{a}.{c}").alias(f"{a}_{c}") for a in (x, y) for c in ("doc", "part", "line_no")]
 
 
 def _verify(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Distinct (y_doc, y_line_no) of the pairs (x earlier, y later) whose sets are similar, by their words."""
-    text = classes.select("doc", "line_no", "line")
-    left = text.select(F.col("doc").alias("x_doc"), F.col("line_no").alias("x_line_no"), F.col("line").alias("x_line"))
-    right = text.select(F.col("doc").alias("y_doc"), F.col("line_no").alias("y_line_no"), F.col("line").alias("y_line"))
-    both = pairs.distinct().join(left, ["x_doc", "x_line_no"]).join(right, ["y_doc", "y_line_no"])
+    """Distinct (y_doc, y_part, y_line_no) of the pairs (x earlier, y later) whose sets are similar, by their words."""
+    text = classes.select("doc", "part", "line_no", "line")
+    left = text.select(F.col("doc").alias("x_doc"), F.col("part").alias("x_part"), F.col("line_no").alias("x_line_no"), F.col("line").alias("x_line"))
+    right = text.select(F.col("doc").alias("y_doc"), F.col("part").alias("y_part"), F.col("line_no").alias("y_line_no"), F.col("line").alias("y_line"))
+    both = pairs.distinct().join(left, ["x_doc", "x_part", "x_line_no"]).join(right, ["y_doc", "y_part", "y_line_no"])
     x, y = _ids("x_line"), _ids("y_line")
-    sets = both.select("y_doc", "y_line_no", x.alias("x"), y.alias("y"))
+    sets = both.select("y_doc", "y_part", "y_line_no", x.alias("x"), y.alias("y"))
     shared = F.size(F.array_intersect("x", "y"))
-    return sets.where(100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("y_doc", "y_line_no").distinct()
+    return sets.where(100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("y_doc", "y_part", "y_line_no").distinct()
 
 
 def later_matches(classes: DataFrame, percent: int) -> DataFrame:
-    """(doc, line_no) of the classes that are similar to an earlier class."""
+    """(doc, part, line_no) of the classes that are similar to an earlier class."""
     spark = classes.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = _frequencies(classes)
     release(spark)
     lists = _postings(classes, table, percent).repartition(parts, "token")
     whole = Window.partitionBy("token")
-    first = F.min(F.struct("doc", "line_no", "n", "place", "b1", "b2")).over(whole)
-    seen = lists.select("*", first.alias("e")).where("e.doc <> doc or e.line_no <> line_no")
-    marked = seen.select(F.struct("doc", "line_no", "n", "place", "b1", "b2").alias("y"), "e", "token").withColumn("star", _possible("e", "y", percent))
-    stars = marked.where("star").select(*_ends("e", "y")).toDF("x_doc", "x_line_no", "y_doc", "y_line_no")
-    rest = marked.where("not star").select("token", "y").alias("r").join(lists.select("token", F.struct("doc", "line_no", "n", "place", "b1", "b2").alias("x")), "token").where(_earlier("x", "y") & _possible("x", "y", percent)).select(*_ends())
+    first = F.min(F.struct("doc", "part", "line_no", "n", "place", "b1", "b2")).over(whole)
+    seen = lists.select("*", first.alias("e")).where("e.doc <> doc or e.part <> part or e.line_no <> line_no")
+    marked = seen.select(F.struct("doc", "part", "line_no", "n", "place", "b1", "b2").alias("y"), "e", "token").withColumn("star", _possible("e", "y", percent))
+    stars = marked.where("star").select(*_ends("e", "y")).toDF("x_doc", "x_part", "x_line_no", "y_doc", "y_part", "y_line_no")
+    rest = marked.where("not star").select("token", "y").alias("r").join(lists.select("token", F.struct("doc", "part", "line_no", "n", "place", "b1", "b2").alias("x")), "token").where(_earlier("x", "y") & _possible("x", "y", percent)).select(*_ends())
     pairs = materialise(stars.unionByName(rest), "pairs")
     found = materialise(_verify(pairs, classes, percent), "matches")
     # Classes that have candidates and no match: their pairs with earliest classes stood for whole lists, so they are
     # now held against every list they are in.
-    open_ = materialise(pairs.select("y_doc", "y_line_no").distinct().join(found, ["y_doc", "y_line_no"], "left_anti"), "open")
-    some = classes.join(open_.select(F.col("y_doc").alias("doc"), F.col("y_line_no").alias("line_no")), ["doc", "line_no"], "left_semi")
-    again = _postings(some, table, percent).select("token", F.struct("doc", "line_no", "n", "place", "b1", "b2").alias("y"))
-    full = again.join(_postings(classes, table, percent).select("token", F.struct("doc", "line_no", "n", "place", "b1", "b2").alias("x")), "token").where(_earlier("x", "y") & _possible("x", "y", percent)).select(*_ends())
-    tried = pairs.select("x_doc", "x_line_no", "y_doc", "y_line_no")
-    more = _verify(full.join(tried, ["x_doc", "x_line_no", "y_doc", "y_line_no"], "left_anti"), classes, percent)
-    return materialise(found.unionByName(more), "matches").select(F.col("y_doc").alias("doc"), F.col("y_line_no").alias("line_no"))
-
-
-def removed_lines(docs: DataFrame, percent: int = 80, min_tokens: int = 1) -> DataFrame:
-    """(doc, line_no) of the lines to remove; doc is the id, a null id the least long."""
-    need(docs, "doc_id", "text")
-    lines = split_lines(docs, min_tokens)
-    classes = materialise(lines.groupBy("h").agg(F.min(F.struct("doc", "line_no", "line")).alias("f")).select("h", "f.doc", "f.line_no", "f.line"), "classes")
+    open_ = materialise(pairs.select("y_doc", "y_part", "y_line_no").distinct().join(found, ["y_doc", "y_part", "y_line_no"], "left_anti"), "open")
+    some = classes.join(open_.select(F.col("y_doc").alias("doc"), F.col("y_part").alias("part"), F.col("y_line_no").alias("line_no")), ["doc", "part", "line_no"], "left_semi")
+    again = _postings(some, table, percent).select("token", F.struct("doc", "part", "line_no", "n", "place", "b1", "b2").alias("y"))
+    full = again.join(_postings(classes, table, percent).select("token", F.struct("doc", "part", "line_no", "n", "place", "b1", "b2").alias("x")), "token").where(_earlier("x", "y") & _possible("x", "y", percent)).select(*_ends())
+    tried = pairs.select("x_doc", "x_part", "x_line_no", "y_doc", "y_part", "y_line_no")
+    more = _verify(full.join(tried, ["x_doc", "x_part", "x_line_no", "y_doc", "y_part", "y_line_no"], "left_anti"), classes, percent)
+    return materialise(found.unionByName(more), "matches").select(F.col("y_doc").alias("doc"), F.col("y_part").alias("part"), F.col("y_line_no").alias("line_no"))
+
+
+def removed_lines(docs: DataFrame, row: tuple[Column, Column], percent: int = 80, min_tokens: int = 1) -> DataFrame:
+    """(doc, part, line_no) of the lines to remove; for row see _row."""
+    lines = split_lines(docs, row, min_tokens)
+    classes = materialise(lines.groupBy("h").agg(F.min(F.struct("doc", "part", "line_no", "line")).alias("f")).select("h", "f.doc", "f.part", "f.line_no", "f.line"), "classes")
     gone = later_matches(classes, percent)
-    firsts = classes.select("h", "doc", "line_no").join(gone, ["doc", "line_no"], "left_anti").select("h", F.col("doc").alias("f_doc"), F.col("line_no").alias("f_line"))
-    placed = lines.select("doc", "line_no", "h").join(firsts, "h", "left")
-    out = materialise(placed.where("f_doc is null or f_doc <> doc or f_line <> line_no").select("doc", "line_no").distinct(), "removed")
+    firsts = classes.select("h", "doc", "part", "line_no").join(gone, ["doc", "part", "line_no"], "left_anti").select("h", F.col("doc").alias("f_doc"), F.col("part").alias("f_part"), F.col("line_no").alias("f_line"))
+    placed = lines.select("doc", "part", "line_no", "h").join(firsts, "h", "left")
+    out = materialise(placed.where("f_doc is null or f_doc <> doc or f_part <> part or f_line <> line_no").select("doc", "part", "line_no").distinct(), "removed")
     discard(classes)
     return out
 
@@ -153,14 +160,16 @@ def dedup_lines(docs: DataFrame, percent: int = 80, min_tokens: int = 1) -> Data
 
     Lines are the parts of the text between line feeds; those without words are kept, and so are lines of fewer than
     min_tokens distinct words (production: 1, every line with a word is compared). What is left keeps its order and its
-    line feeds. A null text stays null, with 0 lines; an empty text has one line without words. Rows that repeat a
-    doc_id are read as one document: equal rows get equal verdicts and all stay. Rows with a null id come before all
-    others. Other columns stay; columns named n_lines or n_removed are replaced; an empty table gives an empty table.
+    line feeds. A null text stays null, with 0 lines; an empty text has one line without words. Rows with one doc_id and
+    one text are read as one document: they get equal verdicts and all stay. Other texts of the id are documents of their
+    own, in the order of their hashes. Rows with a null id come before all others. Other columns stay; columns named n_lines or n_removed are replaced; an empty table gives an empty table.
     """
-    docs = docs.drop("n_lines", "n_removed", "_doc", "_gone")
+    need(docs, "doc_id", "text")
+    docs = docs.drop("n_lines", "n_removed", "_doc", "_part", "_gone")
     names = docs.columns
-    gone = removed_lines(docs, percent, min_tokens).groupBy("doc").agg(F.collect_list("line_no").alias("_gone"))
-    keyed = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST))).join(gone.withColumnRenamed("doc", "_doc"), "_doc", "left")
+    row = _row(docs)
+    gone = removed_lines(docs, row, percent, min_tokens).groupBy(F.col("doc").alias("_doc"), F.col("part").alias("_part")).agg(F.collect_list("line_no").alias("_gone"))
+    keyed = docs.withColumns({"_doc": row[0], "_part": row[1]}).join(gone, ["_doc", "_part"], "left")
     lines = F.split("text", "\n", -1)
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_gone", i)), "\n")
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)

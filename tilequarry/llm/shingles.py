@@ -435,17 +435,8 @@ def _grown(found: DataFrame, labels: DataFrame, more: DataFrame) -> tuple[DataFr
     return found, components(found)
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row: components of documents linked by Jaccard similarity.
-
-    A document's set holds its distinct n-word shingles (A-Z lower-cased, words between ASCII white space); with fewer
-    words the whole sequence is one shingle; null and empty texts have no set and are linked with nothing. Two documents
-    link when 100 * intersection >= percent * union. component_id is the smallest doc_id reachable. Nothing is sampled
-    or capped: every link between different sets is found or its ends are already in one component.
-
-    Rows that repeat a doc_id are nodes of their own that share the id; rows with a null id link like others and have a
-    null component_id only if no id can be reached. Other columns are ignored; an empty table gives an empty table.
-    """
+def _labelled(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (doc_id, n_shingles, digest, hash of the text), distinct sets, and the component label of each linked set."""
     need(docs, "doc_id", "text")
     docs = docs.select("doc_id", "text")
     profiles = materialise(_profiles(docs, n), "profiles")
@@ -463,6 +454,21 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     found, labels = _grown(found, labels, _verify(near, docs, wanted, n, percent))
     rest = materialise(_crossing(lists, labels, sketches, percent, closest=False).join(near, ["x1", "x2", "y1", "y2"], "left_anti"), "rest")
     found, labels = _grown(found, labels, _verify(rest, docs, wanted, n, percent))
+    return rows, sets, labels
+
+
+def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row: components of documents linked by Jaccard similarity.
+
+    A document's set holds its distinct n-word shingles (A-Z lower-cased, words between ASCII white space); with fewer
+    words the whole sequence is one shingle; null and empty texts have no set and are linked with nothing. Two documents
+    link when 100 * intersection >= percent * union. component_id is the smallest doc_id reachable. Nothing is sampled
+    or capped: every link between different sets is found or its ends are already in one component.
+
+    Rows that repeat a doc_id are nodes of their own that share the id; rows with a null id link like others and have a
+    null component_id only if no id can be reached. Other columns are ignored; an empty table gives an empty table.
+    """
+    rows, sets, labels = _labelled(docs, n, percent)
     named = sets.join(labels, ["d1", "d2"], "left").select("d1", "d2", "first", F.coalesce("c1", "d1").alias("c1"), F.coalesce("c2", "d2").alias("c2"))
     least = named.groupBy("c1", "c2").agg(F.min("first").alias("component_id"))
     classes = named.join(least, ["c1", "c2"]).select("d1", "d2", "component_id")
@@ -471,10 +477,19 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
 
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """Rows of docs that are the first of their component (doc_id equal to component_id); columns stay.
-
-    Rows that repeat a doc_id stay or go together; rows with a null id stay unless an id can be reached.
-    """
-    found = near_duplicates(docs, n, percent)
-    gone = found.where(F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    """One row of each component of linked rows, that of the least doc_id (nulls last) and then of the least hash of the
+    text; columns stay. Rows are told apart by id and text: of rows equal in both one stays, if the text has words, and
+    rows without words, which link with nothing, all stay."""
+    rows, sets, labels = _labelled(docs, n, percent)
+    named = sets.join(labels, ["d1", "d2"], "left").select("d1", "d2", F.coalesce("c1", "d1").alias("c1"), F.coalesce("c2", "d2").alias("c2"))
+    full = rows.where("n_shingles > 0").join(named, ["d1", "d2"]).select("doc_id", "xh", "c1", "c2")
+    heads = full.groupBy("c1", "c2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "xh")).alias("head"))
+    other = full.join(heads, ["c1", "c2"]).where(~F.col("doc_id").eqNullSafe(F.col("head.doc_id")) | (F.col("xh") != F.col("head.xh")))
+    gone = other.select(F.col("doc_id").alias("_id"), F.col("xh").alias("_h")).distinct()
+    keyed = docs.withColumn("_xh", F.xxhash64(F.coalesce("text", F.lit(""))))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_xh") == F.col("_h"))
+    kept = keyed.join(gone, same, "left_anti")
+    twice = rows.where("n_shingles > 0").groupBy(F.col("doc_id").alias("_id"), F.col("xh").alias("_h")).agg(F.count("*").alias("_n")).where("_n > 1")
+    if not twice.isEmpty():
+        kept = kept.join(twice, same, "left_anti").unionByName(kept.join(twice, same, "left_semi").dropDuplicates(["doc_id", "_xh"]))
+    return kept.drop("_xh")
