@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,9 +23,11 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a temporary one only where none is configured (tests)."""
+    """The folder that the driver and all executors share; a temporary one only in local mode, where none is configured."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         if app not in _OWN:
             _OWN[app] = "file://" + tempfile.mkdtemp(prefix="tilequarry-")
@@ -32,28 +35,56 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: While this is set, Spark drops a query's shuffle files when the query ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _cleaned(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+
+
 def materialise(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts lineage and survives the loss of any executor."""
+    """Write df as Parquet in the shared folder and read it back: cuts lineage and survives the loss of any executor. The
+    shuffle files behind it go when it is written."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tilequarry-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    release(spark)
+    with _cleaned(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of finished queries, which nothing refers to any more."""
-    gc.collect()
-    spark._jvm.System.gc()
+def materialise_bucketed(df: DataFrame, by: list[str], name: str = "step") -> tuple[DataFrame, Callable[[], None]]:
+    """Like materialise(), in buckets by the columns that df is already partitioned by, so that joins on them move the
+    other side only; and what to call to delete it."""
+    spark = df.sparkSession
+    unique = f"tilequarry_{name}_{uuid.uuid4().hex}"
+    path, full = f"{shared_dir(spark)}/{unique}", f"spark_catalog.default.{unique}"
+    with _cleaned(spark):
+        df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), *by).option("path", path).option("parquet.dictionary.page.size", 1 << 24).format("parquet").saveAsTable(full)
+
+    def drop() -> None:
+        spark.sql(f"DROP TABLE {full}")
+        _delete(spark, path)
 
+    return spark.table(full), drop
 
-def discard(df: DataFrame) -> None:
-    """Delete the files of a table that materialise() wrote and that nothing reads any more."""
-    spark = df.sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables that materialise() wrote and that nothing reads any more."""
+    for df in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            _delete(df.sparkSession, folder)
 
 
 def fold_key(c: str | Column, parts: int = 5) -> Column:

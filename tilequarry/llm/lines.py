@@ -1,157 +1,188 @@
 """Line dedup by an exact set-similarity join of line tokens; DataFrame and SQL functions only.
 
-Two lines match when the Jaccard similarity of their sets of lower-cased words reaches the threshold; a line that matches
-an earlier one (of a smaller doc_id, or higher up in the same document) is removed. Equal sets are one class, known by
-its first line, and only classes are joined. Words have one global order, rare ones first; two similar sets share a word
-among the first ones of both, at places that their sizes and the overlap they need bound. Postings carry a parity bitmap
-of the set (two of them), whose difference never exceeds the sets' difference, so most pairs that share a word by chance end there.
-What is left is verified on the words of both lines.
-
-One earlier match settles a line. So in each list of a word a class is first held against the list's earliest class
-alone; only where these two cannot be similar is it paired with the rest of the list. Classes whose pairs with earliest
-classes all fail the verification are paired in full afterwards. The variants of one line thus give one pair each.
+Two lines match when the Jaccard similarity t of their sets of lower-cased words reaches the threshold; a line that matches
+an earlier one (of a smaller doc_id, or higher up in the same document) is removed. Equal lines are one class, known by
+its first line, and only classes are joined.
+
+Words have one global order, rare ones first. Of two similar sets let one lack a words of the other and have b of its own:
+2 a + b is at most 2 (1 - t) n for a set of n. A word that the other set lacks breaks two pairs of neighbours in that
+order, a word of the other set's own breaks one. So similar sets have one of their first 2 (1 - t) n + 1 pairs of
+neighbours in common, and these pairs are the index keys (the prefix). Sets that have nothing to do with each other share
+many words, but hardly ever a pair of neighbours, so lists hold little besides similar lines at any size of the corpus.
+Postings carry the size of the set, the place of the pair and a parity bitmap, whose difference never exceeds the sets'
+difference: the length, position and bitmap filters end most chance pairs before any words move. What is left is
+verified on the words of both lines.
+
+One earlier match settles a line. So in each list a class is first held against the list's earliest class alone; only
+where these two cannot be similar is it paired with the rest of the list. Classes whose pairs with earliest classes all
+fail the verification are paired in full afterwards. The variants of one line thus give one pair each.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from .common import WORD_GAP, discard, materialise, need, release
-
-#: Entries of the table of word frequencies; fixed, so what every task holds never grows.
-BUCKETS = 1 << 16
-_FIRST = -(1 << 63)
-
+from .common import WORD_GAP, discard, materialise, materialise_bucketed, need
+from .sharding import number_rows
 
-#: ASCII white space other than the space.
-_GAPS = "\t\x0b\x0c\r\n"
-_NO_WORD = "xxhash64('')"
+#: Slots of the table of word frequencies; fixed, so what every task holds never grows.
+SLOTS = 1 << 17
+#: The largest size and place that a posting states; the filters let longer lines pass.
+MOST = (1 << 16) - 1
+#: ASCII white space other than the space and the line feed.
+_GAPS = "\t\x0b\x0c\r"
 
 
 def _ids(line: str) -> Column:
     """Hashes of the distinct lower-cased words, in no order. 64 bits tell the words of a corpus apart."""
-    words = F.split(F.translate(F.lower(F.col(line)), _GAPS, " " * len(_GAPS)), " ", -1)
-    return F.array_remove(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))), F.expr(_NO_WORD))
-
-
-def _row(docs: DataFrame) -> tuple[Column, Column]:
-    """(doc, part): what tells rows apart and orders them. doc is the id, a null id the least long; part is the hash of
-    the text if some id has several texts, else 0, which takes no room in the shuffles."""
-    doc, part = F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST)), F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    several = docs.select(doc.alias("doc"), part.alias("part")).groupBy("doc").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a <> b")
-    return doc, F.lit(0).cast("long") if several.isEmpty() else part
-
+    words = F.lower(line)
+    for gap in _GAPS:
+        words = F.replace(words, F.lit(gap), F.lit(" "))
+    hashed = F.transform(F.split(words, " ", -1), lambda w: F.xxhash64(w))
+    return F.array_remove(F.array_distinct(hashed), F.expr("xxhash64('')"))
 
-def split_lines(docs: DataFrame, row: tuple[Column, Column], min_tokens: int) -> DataFrame:
-    """(doc, part, line_no, line, h): lines with enough distinct words and the hash of their sets; for row see _row."""
-    each = docs.select(row[0].alias("doc"), row[1].alias("part"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line_no", "line"))
-    words = each.withColumn("w", _ids("line")).where(F.size("w") >= max(1, min_tokens))
-    return words.select("doc", "part", "line_no", "line", F.xxhash64(F.sort_array("w")).alias("h"))
 
+def _rows(docs: DataFrame) -> tuple[DataFrame, int]:
+    """docs with _row, which tells rows apart and orders them, and the bits that line numbers take below it.
 
-def _frequencies(classes: DataFrame) -> str:
-    """For each bucket of words the class count of its most frequent word, on a scale of eighths of a power of two.
-
-    A word never counts as rarer than it is; a rare word that shares the bucket of a frequent one comes late, which costs
-    time only.
+    It is the id, counted from the least one, if each id has one text and there is room; else the rank among the distinct
+    ids and hashes of texts. A null id comes before all others.
     """
-    counts = classes.select(F.explode(_ids("line")).alias("k")).groupBy("k").agg(F.count("*").alias("n"))
-    code = F.least(F.lit(255), F.floor(8 * F.log2("n"))).cast("int")
-    rows = counts.groupBy(F.expr(f"cast(k & {BUCKETS - 1}L as int)").alias("b")).agg(F.max(code).alias("c")).collect()  # BUCKETS rows at most
-    table = [0] * BUCKETS
-    for r in rows:
-        table[r["b"]] = r["c"]
-    return ",".join(map(str, table))
-
-
-def _sized(classes: DataFrame, table: str) -> DataFrame:
-    """(doc, part, line_no, n, b1, b2, ids): ids in the global order, as longs of the frequency above 52 bits of the hash."""
-    freq = f"cast(split('{table}', ',') as array<bigint>)"
-    key = f"shiftleft(element_at({freq}, cast(w & {BUCKETS - 1}L as int) + 1), 52) | (w & 4503599627370495L)"
-    hashed = classes.select("doc", "part", "line_no", _ids("line").alias("w"))
-
-    def parity(bits: int) -> Column:
-        return F.expr(f"aggregate(w, 0L, (a, x) -> a ^ shiftleft(1L, cast((x >> {bits}) & 63 as int)))")
-
-    return hashed.select("doc", "part", "line_no", F.size("w").alias("n"), parity(58).alias("b1"), parity(52).alias("b2"), F.sort_array(F.expr(f"transform(w, w -> {key})")).alias("ids"))
-
-
-def _postings(classes: DataFrame, table: str, percent: int) -> DataFrame:
-    """(token, doc, part, line_no, n, place, b1, b2): the probe prefix of each class, one row a word."""
-    probe = f"n - cast(ceil({percent} * n / 100D) as int) + 1"
-    some = _sized(classes, table).selectExpr("doc", "part", "line_no", "n", "b1", "b2", f"posexplode(slice(ids, 1, {probe})) as (place, token)")
-    # Columns that cannot be null keep the optimizer from filtering one use of the postings and not another, so all uses
-    # share one exchange.
-    return some.selectExpr(*(f"coalesce({c}, {zero}) as {c}" for c, zero in (("token", "0L"), ("doc", "0L"), ("part", "0L"), ("line_no", "0"), ("n", "0"), ("place", "0"), ("b1", "0L"), ("b2", "0L"))))
+    whole = isinstance(docs.schema["doc_id"].dataType, IntegralType)
+    ids = F.col("doc_id").cast("long") if whole else F.lit(0).cast("long")
+    part = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    feeds = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
+    each = docs.select(ids.alias("id"), part.alias("part"), feeds.alias("feeds")).groupBy("id").agg(F.min("part").alias("a"), F.max("part").alias("b"), F.max("feeds").alias("feeds"))
+    s = each.agg(F.bool_or(F.expr("a <> b")).alias("several"), F.min("id").alias("low"), F.max("id").alias("high"), F.max("feeds").alias("feeds")).first()
+    bits, low = (s["feeds"] or 0).bit_length(), s["low"] or 0
+    if whole and not s["several"] and ((s["high"] or 0) - low + 1).bit_length() + bits <= 62:
+        return docs.withColumn("_row", F.coalesce(F.col("doc_id").cast("long") - F.lit(low - 1), F.lit(0)).cast("long")), bits
+    known = number_rows(docs.select(F.col("doc_id").alias("_id"), part.alias("_part")).distinct(), ["_id", "_part"], "_row")
+    numbered = docs.withColumn("_h", part).join(known, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_part")))
+    return materialise(numbered.drop("_id", "_part", "_h"), "numbered"), bits
+
+
+def split_lines(docs: DataFrame, bits: int) -> DataFrame:
+    """(a, b, pos, line): lines that have a word, two hashes of them, and their places: the row and the line's number."""
+    each = docs.select("_row", F.posexplode(F.split("text", "\n", -1)).alias("i", "line")).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+    pos = F.shiftleft("_row", bits).bitwiseOR(F.col("i").cast("long"))
+    return each.select(F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b"), pos.alias("pos"), "line")
+
+
+def _classes(docs: DataFrame, bits: int) -> DataFrame:
+    """(a, b, pos, n, bits, w): the first of equal lines, its words, their number and parity bitmap."""
+    first = split_lines(docs, bits).groupBy("a", "b").agg(F.min(F.struct("pos", "line")).alias("f"))
+    sets = first.select("a", "b", "f.pos", _ids("f.line").alias("w"))
+    parity = F.expr("aggregate(w, 0L, (p, x) -> p ^ shiftleft(1L, cast(shiftrightunsigned(x, 58) as int)))")
+    return sets.select("a", "b", "pos", F.size("w").alias("n"), parity.alias("bits"), "w")
+
+
+def _order(classes: DataFrame) -> Column:
+    """The table of word frequencies: for each slot of the hashes the logarithm of its count over all classes, in parts of
+    the mean count; 0 up to twice the mean. Frequent words stand out of the mean at any size of the corpus."""
+    slot = F.expr(f"cast(w & {SLOTS - 1}L as int)")
+    counts = classes.select(F.explode("w").alias("w")).groupBy(slot.alias("s")).agg(F.count("*").alias("k"))
+    table = [0] * SLOTS
+    for r in counts.toLocalIterator():  # SLOTS rows at most
+        table[r["s"]] = r["k"]
+    mean = sum(table) / SLOTS
+    codes = (int(8 * math.log2(k / mean)) if k > 2 * mean else 0 for k in table)
+    return F.split(F.lit(",".join(map(str, codes))), ",", -1).cast("array<int>")
+
+
+def _postings(classes: DataFrame, table: Column, percent: int) -> DataFrame:
+    """(key, pos, m): the index keys of each class; m holds size, place and 32 bits of parity. Below t = 0.8 short sets
+    may have too few pairs of neighbours, so there the first words alone are the keys."""
+    code = lambda w: F.shiftleft(F.get(table, w.bitwiseAND(F.lit(SLOTS - 1)).cast("int")).cast("long"), 52)
+    # No element is null, and arrays that cannot hold nulls are sorted as plain longs.
+    rank = lambda w: F.coalesce(code(w).bitwiseOR(w.bitwiseAND(F.lit((1 << 52) - 1))), F.lit(0).cast("long"))
+    size = F.shiftleft(F.least("n", F.lit(MOST)).cast("long"), 48)
+    bits = F.col("bits").bitwiseXOR(F.shiftrightunsigned("bits", 32)).bitwiseAND(F.lit((1 << 32) - 1))
+    sets = classes.select("pos", "n", size.bitwiseOR(bits).alias("m"), F.sort_array(F.transform("w", rank)).alias("ids"))
+    if percent >= 80:
+        pairs = F.expr(f"transform(slice(ids, 1, least(n - 1, {2 * (100 - percent)} * n div 100 + 1)), (x, i) -> xxhash64(x, get(ids, i + 1)))")
+        # A set that is similar to equal sets only has one key, the whole of it.
+        keys = F.when(F.expr(f"100 * n div {percent} = n and {100 - percent} * n < 100"), F.array(F.xxhash64("ids"))).otherwise(pairs)
+    else:
+        keys = F.expr(f"slice(ids, 1, {100 - percent} * n div 100 + 1)")
+    each = sets.select("pos", "m", F.posexplode(keys).alias("place", "key"))
+    return each.select("key", "pos", F.expr(f"m | shiftleft(cast(least(place, {MOST}) as long), 32)").alias("m"))
 
 
 def _possible(x: str, y: str, percent: int) -> Column:
-    """Whether two postings of a word can belong to similar sets: sizes, places of the word, and parity bitmaps."""
-    total = f"({x}.n + {y}.n)"
-    needed = f"cast(ceil({percent} * {total} / {100 + percent}D) as int)"
+    """Whether two postings of a key, by their m, can belong to similar sets: sizes, places of the key and bitmaps."""
+    nx, ny = (f"shiftrightunsigned({m}, 48)" for m in (x, y))
+    px, py = (f"(shiftrightunsigned({m}, 32) & {MOST})" for m in (x, y))
+    needed = f"(({percent} * ({nx} + {ny}) + {99 + percent}) div {100 + percent})"
     return F.expr(
-        f"100 * least({x}.n, {y}.n) >= {percent} * greatest({x}.n, {y}.n)"
-        f" and {x}.n - {x}.place >= {needed} and {y}.n - {y}.place >= {needed}"
-        f" and bit_count({x}.b1 ^ {y}.b1) <= {total} - 2 * {needed} and bit_count({x}.b2 ^ {y}.b2) <= {total} - 2 * {needed}"
+        f"greatest({nx}, {ny}) = {MOST} or (100 * least({nx}, {ny}) >= {percent} * greatest({nx}, {ny})"
+        f" and least({px}, {py}) + least({nx} - {px}, {ny} - {py}) >= {needed}"
+        f" and bit_count(({x} ^ {y}) & {(1 << 32) - 1}L) <= {nx} + {ny} - 2 * {needed})"
     )
 
 
-def _earlier(x: str, y: str) -> Column:
-    return F.expr(f"{x}.doc < {y}.doc or ({x}.doc = {y}.doc and ({x}.part < {y}.part or ({x}.part = {y}.part and {x}.line_no < {y}.line_no)))")
-
-
-def _ends(x: str = "x", y: str = "y") -> list[Column]:
-    return [F.col(f"{a}.{c}").alias(f"{a}_{c}") for a in (x, y) for c in ("doc", "part", "line_no")]
-
-
-def _verify(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Distinct (y_doc, y_part, y_line_no) of the pairs (x earlier, y later) whose sets are similar, by their words."""
-    text = classes.select("doc", "part", "line_no", "line")
-    left = text.select(F.col("doc").alias("x_doc"), F.col("part").alias("x_part"), F.col("line_no").alias("x_line_no"), F.col("line").alias("x_line"))
-    right = text.select(F.col("doc").alias("y_doc"), F.col("part").alias("y_part"), F.col("line_no").alias("y_line_no"), F.col("line").alias("y_line"))
-    both = pairs.distinct().join(left, ["x_doc", "x_part", "x_line_no"]).join(right, ["y_doc", "y_part", "y_line_no"])
-    x, y = _ids("x_line"), _ids("y_line")
-    sets = both.select("y_doc", "y_part", "y_line_no", x.alias("x"), y.alias("y"))
-    shared = F.size(F.array_intersect("x", "y"))
-    return sets.where(100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("y_doc", "y_part", "y_line_no").distinct()
+def _verify(pairs: DataFrame, heads: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Distinct (a, b, y) of the pairs (x earlier, y later) whose sets are similar, by their words."""
+    for k in ("y", "x"):
+        known = heads.select(F.col("pos").alias(k), *(F.col(c).alias(f"{k}_{c}") for c in ("a", "b", "n", "bits")))
+        pairs = pairs.join(known.hint("shuffle_hash"), k)
+    needed = f"(({percent} * (x_n + y_n) + {99 + percent}) div {100 + percent})"
+    near = materialise(pairs.where(f"bit_count(x_bits ^ y_bits) <= x_n + y_n - 2 * {needed}").select("x_a", "x_b", "y_a", "y_b", "y", F.expr(needed).alias("needed")), "near")
+    ends = near.select(F.col("x_a").alias("a"), F.col("x_b").alias("b")).unionByName(near.select(F.col("y_a").alias("a"), F.col("y_b").alias("b"))).distinct()
+    texts = materialise(classes.select("a", "b", "w").join(ends.hint("shuffle_hash"), ["a", "b"]), "texts")
+    both = near
+    for k in ("y", "x"):
+        both = both.join(texts.select(*(F.col(c).alias(f"{k}_{c}") for c in ("a", "b", "w"))), [f"{k}_a", f"{k}_b"])
+    out = materialise(both.where("size(array_intersect(x_w, y_w)) >= needed").select(F.col("y_a").alias("a"), F.col("y_b").alias("b"), "y").distinct(), "matches")
+    discard(near, texts)
+    return out
 
 
 def later_matches(classes: DataFrame, percent: int) -> DataFrame:
-    """(doc, part, line_no) of the classes that are similar to an earlier class."""
-    spark = classes.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    table = _frequencies(classes)
-    release(spark)
-    lists = _postings(classes, table, percent).repartition(parts, "token")
-    whole = Window.partitionBy("token")
-    first = F.min(F.struct("doc", "part", "line_no", "n", "place", "b1", "b2")).over(whole)
-    seen = lists.select("*", first.alias("e")).where("e.doc <> doc or e.part <> part or e.line_no <> line_no")
-    marked = seen.select(F.struct("doc", "part", "line_no", "n", "place", "b1", "b2").alias("y"), "e", "token").withColumn("star", _possible("e", "y", percent))
-    stars = marked.where("star").select(*_ends("e", "y")).toDF("x_doc", "x_part", "x_line_no", "y_doc", "y_part", "y_line_no")
-    rest = marked.where("not star").select("token", "y").alias("r").join(lists.select("token", F.struct("doc", "part", "line_no", "n", "place", "b1", "b2").alias("x")), "token").where(_earlier("x", "y") & _possible("x", "y", percent)).select(*_ends())
-    pairs = materialise(stars.unionByName(rest), "pairs")
-    found = materialise(_verify(pairs, classes, percent), "matches")
+    """(a, b, y) of the classes that are similar to an earlier class; y is the place."""
+    parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    heads = classes.select("a", "b", "pos", "n", "bits")
+    lists = _postings(classes, _order(classes), percent).repartition(parts, "key")
+    whole = Window.partitionBy("key")
+    seen = lists.select("*", F.count("*").over(whole).alias("k"), F.min(F.struct("pos", "m")).over(whole).alias("e")).where("k > 1")
+    later = F.expr("e.pos < pos")
+    marked = seen.select("key", "pos", "m", "k", F.col("e.pos").alias("first"), later.alias("later"), (later & _possible("e.m", "m", percent)).alias("star"))
+    shared = materialise(marked.where("k > 2 or star").drop("k"), "shared")
+    x, y = (shared.select("key", F.col("pos").alias(k), F.col("m").alias(f"{k}_m"), "later", "star") for k in ("x", "y"))
+
+    def paired(some: DataFrame) -> DataFrame:
+        return some.select("key", "y", "y_m").join(x.select("key", "x", "x_m"), "key").where(F.expr("x < y") & _possible("x_m", "y_m", percent)).select("x", "y")
+
+    stars = shared.where("star").select(F.col("first").alias("x"), F.col("pos").alias("y"))
+    pairs = materialise(stars.unionByName(paired(y.where("later and not star"))).distinct(), "pairs")
+    found = _verify(pairs, heads, classes, percent)
     # Classes that have candidates and no match: their pairs with earliest classes stood for whole lists, so they are
     # now held against every list they are in.
-    open_ = materialise(pairs.select("y_doc", "y_part", "y_line_no").distinct().join(found, ["y_doc", "y_part", "y_line_no"], "left_anti"), "open")
-    some = classes.join(open_.select(F.col("y_doc").alias("doc"), F.col("y_part").alias("part"), F.col("y_line_no").alias("line_no")), ["doc", "part", "line_no"], "left_semi")
-    again = _postings(some, table, percent).select("token", F.struct("doc", "part", "line_no", "n", "place", "b1", "b2").alias("y"))
-    full = again.join(_postings(classes, table, percent).select("token", F.struct("doc", "part", "line_no", "n", "place", "b1", "b2").alias("x")), "token").where(_earlier("x", "y") & _possible("x", "y", percent)).select(*_ends())
-    tried = pairs.select("x_doc", "x_part", "x_line_no", "y_doc", "y_part", "y_line_no")
-    more = _verify(full.join(tried, ["x_doc", "x_part", "x_line_no", "y_doc", "y_part", "y_line_no"], "left_anti"), classes, percent)
-    return materialise(found.unionByName(more), "matches").select(F.col("y_doc").alias("doc"), F.col("y_part").alias("part"), F.col("y_line_no").alias("line_no"))
-
-
-def removed_lines(docs: DataFrame, row: tuple[Column, Column], percent: int = 80, min_tokens: int = 1) -> DataFrame:
-    """(doc, part, line_no) of the lines to remove; for row see _row."""
-    lines = split_lines(docs, row, min_tokens)
-    classes = materialise(lines.groupBy("h").agg(F.min(F.struct("doc", "part", "line_no", "line")).alias("f")).select("h", "f.doc", "f.part", "f.line_no", "f.line"), "classes")
-    gone = later_matches(classes, percent)
-    firsts = classes.select("h", "doc", "part", "line_no").join(gone, ["doc", "part", "line_no"], "left_anti").select("h", F.col("doc").alias("f_doc"), F.col("part").alias("f_part"), F.col("line_no").alias("f_line"))
-    placed = lines.select("doc", "part", "line_no", "h").join(firsts, "h", "left")
-    out = materialise(placed.where("f_doc is null or f_doc <> doc or f_part <> part or f_line <> line_no").select("doc", "part", "line_no").distinct(), "removed")
-    discard(classes)
+    open_ = pairs.select("y").distinct().join(found, "y", "left_anti")
+    rest = paired(y.where("star").join(open_, "y", "left_semi")).distinct()
+    more = materialise(rest.join(pairs, ["x", "y"], "left_anti"), "more")
+    also = _verify(more, heads, classes, percent)
+    out = materialise(found.unionByName(also), "matches")
+    discard(shared, pairs, found, more, also)
+    return out
+
+
+def removed_lines(docs: DataFrame, bits: int, percent: int = 80, min_tokens: int = 1) -> DataFrame:
+    """(pos) of the lines to remove; for docs and bits see _rows."""
+    every, drop = materialise_bucketed(_classes(docs, bits), ["a", "b"], "classes")
+    classes = every.where(F.col("n") >= max(1, min_tokens))
+    matches = later_matches(classes, percent)
+    gone = matches.select("a", "b", F.lit(True).alias("gone")).hint("shuffle_hash")
+    # Written without the buckets: a line that stands almost everywhere is then a skewed join, which Spark splits.
+    known = materialise(classes.select("a", "b", F.col("pos").alias("first")).join(gone, ["a", "b"], "left"), "firsts")
+    placed = split_lines(docs, bits).select("a", "b", "pos").join(known.hint("shuffle_hash"), ["a", "b"])
+    out = materialise(placed.where("gone or pos <> first").select("pos"), "removed")
+    drop()
+    discard(matches, known)
     return out
 
 
@@ -162,18 +193,20 @@ def dedup_lines(docs: DataFrame, percent: int = 80, min_tokens: int = 1) -> Data
     min_tokens distinct words (production: 1, every line with a word is compared). What is left keeps its order and its
     line feeds. A null text stays null, with 0 lines; an empty text has one line without words. Rows with one doc_id and
     one text are read as one document: they get equal verdicts and all stay. Other texts of the id are documents of their
-    own, in the order of their hashes. Rows with a null id come before all others. Other columns stay; columns named n_lines or n_removed are replaced; an empty table gives an empty table.
+    own, in the order of their hashes. Rows with a null id come before all others; ids that are no whole numbers keep the
+    order of their type. Other columns stay; columns named n_lines or n_removed are replaced; an empty table gives an
+    empty table. Lines are told apart by 128 bits of hash, words by 64.
     """
     need(docs, "doc_id", "text")
-    docs = docs.drop("n_lines", "n_removed", "_doc", "_part", "_gone")
+    docs = docs.drop("n_lines", "n_removed", "_row", "_gone", "_lines")
     names = docs.columns
-    row = _row(docs)
-    gone = removed_lines(docs, row, percent, min_tokens).groupBy(F.col("doc").alias("_doc"), F.col("part").alias("_part")).agg(F.collect_list("line_no").alias("_gone"))
-    keyed = docs.withColumns({"_doc": row[0], "_part": row[1]}).join(gone, ["_doc", "_part"], "left")
-    lines = F.split("text", "\n", -1)
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_gone", i)), "\n")
+    docs, bits = _rows(docs)
+    line = F.col("pos").bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
+    gone = removed_lines(docs, bits, percent, min_tokens).groupBy(F.shiftright("pos", bits).alias("_row")).agg(F.collect_set(line).alias("_gone"))
+    keyed = docs.join(gone.hint("shuffle_hash"), "_row", "left").withColumn("_lines", F.split("text", "\n", -1))
+    kept = F.array_join(F.filter("_lines", lambda x, i: ~F.array_contains("_gone", i)), "\n")
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)
-    return keyed.select(*(text.alias(c) if c == "text" else F.col(c) for c in names), F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).alias("n_lines"), F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).alias("n_removed"))
+    return keyed.select(*(text.alias(c) if c == "text" else F.col(c) for c in names), F.when(F.col("text").isNull(), 0).otherwise(F.size("_lines")).alias("n_lines"), F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).alias("n_removed"))
 
 
 def with_text_left(deduped: DataFrame, columns: list[str]) -> DataFrame:
