@@ -9,19 +9,18 @@ Words have one global order, rare ones first. Of two similar sets let one lack a
 order, a word of the other set's own breaks one. So similar sets have one of their first 2 (1 - t) n + 1 pairs of
 neighbours in common, and these pairs are the index keys (the prefix). Sets that have nothing to do with each other share
 many words, but hardly ever a pair of neighbours, so lists hold little besides similar lines at any size of the corpus.
-Postings carry the size of the set, the place of the pair and a parity bitmap, whose difference never exceeds the sets'
-difference: the length, position and bitmap filters end most chance pairs before any words move. What is left is
-verified on the words of both lines.
+Postings carry the size of the set and the place of the pair for the length and position filters. The few classes that
+share a list with others get a parity bitmap, whose difference never exceeds the sets' difference: it ends chance pairs
+before any words move. What is left is verified on the words of both lines.
 
-One earlier match settles a line. So in each list a class is first held against the list's earliest class alone; only
-where these two cannot be similar is it paired with the rest of the list. Classes whose pairs with earliest classes all
-fail the verification are paired in full afterwards. The variants of one line thus give one pair each.
+One earlier match settles a line. So a class is first held against the likeliest of its lists' earliest classes alone;
+only where these two are not similar is it paired with the rest of its lists. The variants of one line thus give one pair
+each.
 """
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
@@ -30,9 +29,7 @@ from .common import WORD_GAP, discard, materialise, materialise_bucketed, need
 from .sharding import number_rows
 
 #: Slots of the table of word frequencies; fixed, so what every task holds never grows.
-SLOTS = 1 << 17
-#: The largest size and place that a posting states; the filters let longer lines pass.
-MOST = (1 << 16) - 1
+SLOTS = 1 << 18
 #: ASCII white space other than the space and the line feed.
 _GAPS = "\t\x0b\x0c\r"
 
@@ -74,11 +71,12 @@ def split_lines(docs: DataFrame, bits: int) -> DataFrame:
 
 
 def _classes(docs: DataFrame, bits: int) -> DataFrame:
-    """(a, b, pos, n, bits, w): the first of equal lines, its words, their number and parity bitmap."""
+    """(a, b, pos, n, p0, p1, w): the first of equal lines, its words, their number and parity bitmap."""
     first = split_lines(docs, bits).groupBy("a", "b").agg(F.min(F.struct("pos", "line")).alias("f"))
     sets = first.select("a", "b", "f.pos", _ids("f.line").alias("w"))
-    parity = F.expr("aggregate(w, 0L, (p, x) -> p ^ shiftleft(1L, cast(shiftrightunsigned(x, 58) as int)))")
-    return sets.select("a", "b", "pos", F.size("w").alias("n"), parity.alias("bits"), "w")
+    bit = "shiftleft(1L, cast(x >> 52 as int) & 63)"
+    parity = (F.expr(f"aggregate(w, 0L, (p, x) -> p ^ {b})").alias(k) for k, b in (("p0", bit), ("p1", f"({bit} & (x >> 63))")))
+    return sets.select("a", "b", "pos", F.size("w").alias("n"), *parity, "w")
 
 
 def _order(classes: DataFrame) -> Column:
@@ -86,88 +84,90 @@ def _order(classes: DataFrame) -> Column:
     the mean count; 0 up to twice the mean. Frequent words stand out of the mean at any size of the corpus."""
     slot = F.expr(f"cast(w & {SLOTS - 1}L as int)")
     counts = classes.select(F.explode("w").alias("w")).groupBy(slot.alias("s")).agg(F.count("*").alias("k"))
-    table = [0] * SLOTS
-    for r in counts.toLocalIterator():  # SLOTS rows at most
-        table[r["s"]] = r["k"]
-    mean = sum(table) / SLOTS
-    codes = (int(8 * math.log2(k / mean)) if k > 2 * mean else 0 for k in table)
-    return F.split(F.lit(",".join(map(str, codes))), ",", -1).cast("array<int>")
+    found = counts.toPandas()  # SLOTS rows at most
+    table = np.zeros(SLOTS)
+    table[found["s"].to_numpy()] = found["k"].to_numpy()
+    mean = max(table.mean(), 1e-9)
+    codes = np.where(table > 2 * mean, 8 * np.log2(np.maximum(table / mean, 1)), 0).astype(int)
+    return F.split(F.lit(",".join(map(str, codes.tolist()))), ",", -1).cast("array<int>")
 
 
 def _postings(classes: DataFrame, table: Column, percent: int) -> DataFrame:
-    """(key, pos, m): the index keys of each class; m holds size, place and 32 bits of parity. Below t = 0.8 short sets
-    may have too few pairs of neighbours, so there the first words alone are the keys."""
+    """(key, pos, m): the index keys of each class; m holds size and place. Below t = 0.8 short sets may have too few pairs
+    of neighbours, so there the first words alone are the keys."""
     code = lambda w: F.shiftleft(F.get(table, w.bitwiseAND(F.lit(SLOTS - 1)).cast("int")).cast("long"), 52)
     # No element is null, and arrays that cannot hold nulls are sorted as plain longs.
     rank = lambda w: F.coalesce(code(w).bitwiseOR(w.bitwiseAND(F.lit((1 << 52) - 1))), F.lit(0).cast("long"))
-    size = F.shiftleft(F.least("n", F.lit(MOST)).cast("long"), 48)
-    bits = F.col("bits").bitwiseXOR(F.shiftrightunsigned("bits", 32)).bitwiseAND(F.lit((1 << 32) - 1))
-    sets = classes.select("pos", "n", size.bitwiseOR(bits).alias("m"), F.sort_array(F.transform("w", rank)).alias("ids"))
+    sets = classes.select("pos", "n", F.sort_array(F.transform("w", rank)).alias("ids"))
     if percent >= 80:
-        pairs = F.expr(f"transform(slice(ids, 1, least(n - 1, {2 * (100 - percent)} * n div 100 + 1)), (x, i) -> xxhash64(x, get(ids, i + 1)))")
+        pairs = F.expr(f"transform(slice(ids, 1, least(n - 1, {2 * (100 - percent)} * n div 100 + 1)), (x, i) -> x ^ shiftleft(get(ids, i + 1), 7))")
         # A set that is similar to equal sets only has one key, the whole of it.
         keys = F.when(F.expr(f"100 * n div {percent} = n and {100 - percent} * n < 100"), F.array(F.xxhash64("ids"))).otherwise(pairs)
     else:
         keys = F.expr(f"slice(ids, 1, {100 - percent} * n div 100 + 1)")
-    each = sets.select("pos", "m", F.posexplode(keys).alias("place", "key"))
-    return each.select("key", "pos", F.expr(f"m | shiftleft(cast(least(place, {MOST}) as long), 32)").alias("m"))
+    each = sets.select("pos", "n", F.posexplode(keys).alias("place", "key"))
+    return each.select("key", "pos", F.expr("shiftleft(cast(n as long), 32) | place").alias("m"))
+
+
+def _needed(x: str, y: str, percent: int) -> str:
+    """The words that sets of these sizes must share."""
+    return f"(({percent} * ({x} + {y}) + {99 + percent}) div {100 + percent})"
 
 
 def _possible(x: str, y: str, percent: int) -> Column:
-    """Whether two postings of a key, by their m, can belong to similar sets: sizes, places of the key and bitmaps."""
-    nx, ny = (f"shiftrightunsigned({m}, 48)" for m in (x, y))
-    px, py = (f"(shiftrightunsigned({m}, 32) & {MOST})" for m in (x, y))
-    needed = f"(({percent} * ({nx} + {ny}) + {99 + percent}) div {100 + percent})"
-    return F.expr(
-        f"greatest({nx}, {ny}) = {MOST} or (100 * least({nx}, {ny}) >= {percent} * greatest({nx}, {ny})"
-        f" and least({px}, {py}) + least({nx} - {px}, {ny} - {py}) >= {needed}"
-        f" and bit_count(({x} ^ {y}) & {(1 << 32) - 1}L) <= {nx} + {ny} - 2 * {needed})"
-    )
-
-
-def _verify(pairs: DataFrame, heads: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Distinct (a, b, y) of the pairs (x earlier, y later) whose sets are similar, by their words."""
-    for k in ("y", "x"):
-        known = heads.select(F.col("pos").alias(k), *(F.col(c).alias(f"{k}_{c}") for c in ("a", "b", "n", "bits")))
-        pairs = pairs.join(known.hint("shuffle_hash"), k)
-    needed = f"(({percent} * (x_n + y_n) + {99 + percent}) div {100 + percent})"
-    near = materialise(pairs.where(f"bit_count(x_bits ^ y_bits) <= x_n + y_n - 2 * {needed}").select("x_a", "x_b", "y_a", "y_b", "y", F.expr(needed).alias("needed")), "near")
+    """Whether two postings of a key, by their m, can belong to similar sets: sizes and places of the key."""
+    nx, ny = (f"shiftright({m}, 32)" for m in (x, y))
+    px, py = (f"({m} & {(1 << 32) - 1}L)" for m in (x, y))
+    return F.expr(f"100 * least({nx}, {ny}) >= {percent} * greatest({nx}, {ny}) and least({px}, {py}) + least({nx} - {px}, {ny} - {py}) >= {_needed(nx, ny, percent)}")
+
+
+def _apart(x: str, y: str) -> str:
+    """Places in which two parity bitmaps differ, never more than the sets have words of their own. p0 is the parity of
+    all words in 64 places, p1 that of the words with a negative hash."""
+    return f"(bit_count({x}1 ^ {y}1) + bit_count({x}0 ^ {x}1 ^ {y}0 ^ {y}1))"
+
+
+def _verify(near: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(a, b, y) of the pairs (x earlier, y later) whose sets are similar, by their words."""
     ends = near.select(F.col("x_a").alias("a"), F.col("x_b").alias("b")).unionByName(near.select(F.col("y_a").alias("a"), F.col("y_b").alias("b"))).distinct()
     texts = materialise(classes.select("a", "b", "w").join(ends.hint("shuffle_hash"), ["a", "b"]), "texts")
-    both = near
+    pairs = near.select("x_a", "x_b", "y_a", "y_b", "y", "x_n", "y_n")
     for k in ("y", "x"):
-        both = both.join(texts.select(*(F.col(c).alias(f"{k}_{c}") for c in ("a", "b", "w"))), [f"{k}_a", f"{k}_b"])
-    out = materialise(both.where("size(array_intersect(x_w, y_w)) >= needed").select(F.col("y_a").alias("a"), F.col("y_b").alias("b"), "y").distinct(), "matches")
-    discard(near, texts)
+        pairs = pairs.join(texts.select(*(F.col(c).alias(f"{k}_{c}") for c in ("a", "b", "w"))), [f"{k}_a", f"{k}_b"])
+    same = pairs.where(f"size(array_intersect(x_w, y_w)) >= {_needed('x_n', 'y_n', percent)}")
+    out = materialise(same.select(F.col("y_a").alias("a"), F.col("y_b").alias("b"), "y").distinct(), "matches")
+    discard(texts)
     return out
 
 
 def later_matches(classes: DataFrame, percent: int) -> DataFrame:
     """(a, b, y) of the classes that are similar to an earlier class; y is the place."""
     parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    heads = classes.select("a", "b", "pos", "n", "bits")
     lists = _postings(classes, _order(classes), percent).repartition(parts, "key")
     whole = Window.partitionBy("key")
     seen = lists.select("*", F.count("*").over(whole).alias("k"), F.min(F.struct("pos", "m")).over(whole).alias("e")).where("k > 1")
     later = F.expr("e.pos < pos")
-    marked = seen.select("key", "pos", "m", "k", F.col("e.pos").alias("first"), later.alias("later"), (later & _possible("e.m", "m", percent)).alias("star"))
-    shared = materialise(marked.where("k > 2 or star").drop("k"), "shared")
-    x, y = (shared.select("key", F.col("pos").alias(k), F.col("m").alias(f"{k}_m"), "later", "star") for k in ("x", "y"))
-
-    def paired(some: DataFrame) -> DataFrame:
-        return some.select("key", "y", "y_m").join(x.select("key", "x", "x_m"), "key").where(F.expr("x < y") & _possible("x_m", "y_m", percent)).select("x", "y")
-
-    stars = shared.where("star").select(F.col("first").alias("x"), F.col("pos").alias("y"))
-    pairs = materialise(stars.unionByName(paired(y.where("later and not star"))).distinct(), "pairs")
-    found = _verify(pairs, heads, classes, percent)
-    # Classes that have candidates and no match: their pairs with earliest classes stood for whole lists, so they are
-    # now held against every list they are in.
-    open_ = pairs.select("y").distinct().join(found, "y", "left_anti")
-    rest = paired(y.where("star").join(open_, "y", "left_semi")).distinct()
-    more = materialise(rest.join(pairs, ["x", "y"], "left_anti"), "more")
-    also = _verify(more, heads, classes, percent)
+    marked = seen.select("key", "pos", "m", (F.col("k") > 2).alias("more"), F.col("e.pos").alias("first"), later.alias("later"), (later & _possible("e.m", "m", percent)).alias("star"))
+    shared = materialise(marked.where("more or star"), "shared")
+    sides = classes.select("a", "b", "pos", "n", "p0", "p1")
+    side = lambda k: sides.select(F.col("pos").alias(k), *(F.col(c).alias(f"{k}_{c}") for c in sides.columns if c != "pos")).hint("shuffle_hash")
+    near = F.expr(f"{_apart('x_p', 'y_p')} <= x_n + y_n - 2 * {_needed('x_n', 'y_n', percent)}")
+    stars = lambda some: shared.where(some).select(F.col("first").alias("x"), F.col("pos").alias("y"))
+    close = lambda some: some.join(side("y"), "y").join(side("x"), "x").where(near)
+    # Of the earliest classes the one with which a class shares most keys.
+    counts = stars("star").groupBy("x", "y").agg(F.count("*").alias("c")).groupBy("y").agg(F.max(F.struct("c", F.negative("x").alias("x"))).alias("b"))
+    best = materialise(close(counts.select("y", F.negative("b.x").alias("x"))), "pairs")
+    found = _verify(best, classes, percent)
+    # Classes that have no match yet are held against every list they are in.
+    rows = materialise(shared.where("more").select("key", "pos", "m", "later").join(sides.select("pos", "n", "p0", "p1").hint("shuffle_hash"), "pos"), "rows")
+    x, y = (rows.select("key", "later", *(F.col(c).alias(k if c == "pos" else f"{k}_{c}") for c in rows.columns if c not in ("key", "later"))) for k in ("x", "y"))
+    unmatched = lambda some: some.join(found.select("y"), "y", "left_anti")
+    lists = unmatched(y.where("later").drop("later")).join(x.drop("later"), "key").where(F.expr("x < y") & _possible("x_m", "y_m", percent) & near).select("x", "y")
+    rest = lists.unionByName(unmatched(stars("star and not more"))).distinct().join(best, ["x", "y"], "left_anti")
+    also_near = materialise(close(rest), "more")
+    also = _verify(also_near, classes, percent)
     out = materialise(found.unionByName(also), "matches")
-    discard(shared, pairs, found, more, also)
+    discard(shared, best, found, rows, also_near, also)
     return out
 
 
