@@ -2,9 +2,10 @@
 
 Tokens (hashed n-grams) have one global order: by corpus frequency, then by hash. Two sets that reach the threshold miss
 at most e = n - ceil(t * n) tokens of either side, so they share tokens near the start of that order. Rare tokens are
-indexed one by one. Frequent tokens fall into classes by their hash and are indexed by pairs of one class; a class of m
-prefix tokens shares a pair unless m - 1 of them are missed, so the prefix is extended until the rare tokens and the
-sums of m - 1 come to e + 1. Candidates are verified on the whole sets.
+indexed one by one. Frequent tokens are indexed by combinations of two, neighbours in that order, and the prefix is
+extended until the sets must have such a pair in common. Documents that have nothing to do with each other share some
+frequent tokens, but hardly ever two that are neighbours in both, so lists hold little else than copies at any size of
+the corpus. Candidates are verified on the whole sets.
 
 Groups never become all pairs: each index list first links its members to a pivot of similar size, then each member to
 the closest one of another component; only members that the verified links leave in different components, and whose
@@ -13,11 +14,13 @@ parity bitmaps allow a link, are paired in full after that.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +30,9 @@ _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _K = np.uint64(0x9E3779B97F4A7C15)
 #: Counters of the frequency table, and rows in which it is gathered; both fixed, so the table never grows.
 COUNTERS, CHUNKS = 1 << 20, 64
+#: A token is rare if its counter shows no more sets than this. Counters never show too few; as they fill up with the
+#: corpus, more tokens count as frequent.
+RARE = 4
 BITS = 1 << 24
 #: Bits of a set's parity bitmap.
 SKETCH = 512
@@ -69,15 +75,14 @@ def allowed(n: int, percent: int) -> int:
     return n - -(-percent * n // 100)
 
 
-def _level(n: int, percent: int) -> int:
-    """Classes of frequent tokens for sets of n, as a power of two near the tokens that can be missed."""
-    return max(1, allowed(n, percent)).bit_length() - 1
-
-
 def signatures(tokens: np.ndarray, counts: np.ndarray, frequent: int, percent: int) -> np.ndarray:
     """Index keys of one set; counts are the frequencies of its tokens, above `frequent` they are frequent.
 
-    Sets that only an equal set can be linked with have none.
+    Sets that only an equal set can be linked with have none. Let a linked set lack a tokens of this one and have b of
+    its own. With r rare tokens, none of them shared, a - r frequent ones are missing; a missing one breaks two pairs of
+    neighbours, one of the other set's own breaks one, so of the pairs at most 2 (a - r) + b are broken, and 2 a + b is
+    at most 2 (1 - t) n. One pair more than that is indexed. Below t = 0.8 short sets may have too few pairs, so all
+    tokens are indexed one by one there.
     """
     n = len(tokens)
     largest = 100 * n // percent
@@ -86,25 +91,12 @@ def signatures(tokens: np.ndarray, counts: np.ndarray, frequent: int, percent: i
     order = np.lexsort((tokens, counts))
     tokens, counts = tokens[order], counts[order]
     want = allowed(n, percent) + 1
-    rare = int(np.searchsorted(counts, frequent, side="right"))
-    out = [tokens[: min(rare, want)]]
-    if rare < want:
-        rest = tokens[rare:]
-        # A linked set may be larger and use the next level; the smaller one has keys of both.
-        for level in sorted({_level(n, percent), _level(largest, percent)}):
-            kind = (rest >> np.uint64(40)) & np.uint64((1 << level) - 1)
-            _, first = np.unique(kind, return_index=True)
-            gain = np.ones(len(rest), np.int64)
-            gain[first] = 0
-            stop = int(np.searchsorted(np.cumsum(gain), want - rare)) + 1
-            kind, some = kind[:stop], rest[:stop]
-            by = np.argsort(kind, kind="stable")
-            edges = np.flatnonzero(np.diff(kind[by])) + 1
-            for group in np.split(some[by], edges):
-                if len(group) > 1:
-                    i, j = np.triu_indices(len(group), 1)
-                    out.append(_mix(group[i] * _K + group[j] + np.uint64(level + 1)))
-    return np.unique(np.concatenate(out))
+    rare = int(np.searchsorted(counts, frequent, side="right")) if percent >= 80 else n
+    if rare >= want:
+        return tokens[:want]
+    pairs = 2 * (100 - percent) * n // 100 - 2 * rare + 1
+    rest = tokens[rare : rare + pairs + 1]
+    return np.concatenate([tokens[:rare], _mix(rest[:-1] * _K + rest[1:] + np.uint64(1))])
 
 
 def _profiles(docs: DataFrame, n: int) -> DataFrame:
@@ -125,7 +117,7 @@ def _profiles(docs: DataFrame, n: int) -> DataFrame:
             size, d1, d2 = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), batch.column("xh"), pa.array([-1] * len(rows), pa.int32()), pa.nulls(len(rows), pa.binary())], names)
         if id_type is not None and total.any():
-            parts = [p.tobytes() for p in np.split(total, CHUNKS)]
+            parts = [zstandard.ZstdCompressor(1).compress(p.tobytes()) for p in np.split(total, CHUNKS)]
             zero = pa.array([0] * CHUNKS, pa.int64())
             yield pa.RecordBatch.from_arrays([pa.nulls(CHUNKS, id_type), zero, zero, zero, zero, pa.array(range(CHUNKS), pa.int32()), pa.array(parts, pa.binary())], names)
 
@@ -140,7 +132,7 @@ def _frequencies(profiles: DataFrame) -> np.ndarray:
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(COUNTERS // CHUNKS, np.uint64)
         for t in pdf["tally"]:
-            total += np.frombuffer(t, np.uint32)
+            total += np.frombuffer(zstandard.ZstdDecompressor().decompress(t), np.uint32)
         return pd.DataFrame({"chunk": pdf["chunk"].iloc[:1].to_numpy(), "tally": [total.tobytes()]})
 
     # Partial sums first: each of 16 groups a chunk adds up its share of the tasks.
@@ -154,11 +146,9 @@ def _frequencies(profiles: DataFrame) -> np.ndarray:
 
 
 def _index(docs: DataFrame, n: int, percent: int, table: np.ndarray) -> DataFrame:
-    """(sig, d1, d2, n): index keys of each set; copies within one task give one."""
-    busy = table[table > 0]
-    mean = float(busy.mean()) if len(busy) else 0.0
-    frequent = int(mean + 6 * mean**0.5 + 8)
-    sent = docs.sparkSession.sparkContext.broadcast(table.astype(np.uint32 if len(busy) == 0 or busy.max() < 2**32 else np.uint64))
+    """(sig, d1, d2, n): index keys of each set; copies within one task give one. The last 16 bits of a key are replaced
+    by the set's size on a logarithmic scale, so one long sorts the entries by list and size."""
+    sent = docs.sparkSession.sparkContext.broadcast(table.astype(np.uint32 if table.max() < 2**32 else np.uint64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = sent.value, set()
@@ -179,9 +169,9 @@ def _index(docs: DataFrame, n: int, percent: int, table: np.ndarray) -> DataFram
                 if not len(s) or d in seen:
                     continue
                 seen.add(d)
-                keys = signatures(s, counts[(s & np.uint64(COUNTERS - 1)).astype(np.int64)], frequent, percent)
+                keys = signatures(s, counts[(s & np.uint64(COUNTERS - 1)).astype(np.int64)], RARE, percent)
                 if len(keys):
-                    sigs.append(keys)
+                    sigs.append((keys & ~np.uint64(0xFFFF)) | np.uint64(min(0xFFFF, int(math.log2(len(s)) * 2048))))
                     d1s.append(d[0])
                     d2s.append(d[1])
                     ns.append(len(s))
@@ -196,50 +186,69 @@ def _index(docs: DataFrame, n: int, percent: int, table: np.ndarray) -> DataFram
 
 
 def _lists(index: DataFrame, percent: int) -> DataFrame:
-    """(sig, d1, d2, n, p1, p2): entries of lists with two sets or more; p1, p2: the pivot to be compared first, if any.
+    """(sig, d1, d2, n, p1, p2, many): entries of lists with two sets or more; p1, p2: the pivot to be compared first, if
+    any; many: whether the list has more than two sets, so that other pairs than those with pivots are left.
 
     Entries come sorted by list and size and stream through; a pivot holds while the entries' sizes can be linked.
     """
     parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    names = ["sig", "d1", "d2", "n", "p1", "p2"]
+    names = ["sig", "d1", "d2", "n", "p1", "p2", "many"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before: tuple | None = None  # the last distinct entry
-        told, pivot = False, None
+        held: list[tuple] = []  # the list's first entries, until there are three
+        last = pivot = at = None  # the list, its pivot (digest and size), the key
+        many, here, out = False, set(), []
+
+        def told() -> pa.RecordBatch:
+            done = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
+            out.clear()
+            return done
+
         for batch in batches:
-            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
-            sig = cols[0]
+            key, d1, d2, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            sig = key >> 16
             m = len(sig)
             if not m:
                 continue
             # Entries alone in their list are passed over without a look.
             same = np.zeros(m + 1, bool)
             same[1:m] = sig[1:] == sig[:-1]
-            same[0] = before is not None and before[0] == sig[0]
+            same[0] = last is not None and last == sig[0]
             near = same[:m] | same[1:]
             near[-1] = True
-            out: list[tuple] = []
             for i in np.flatnonzero(near).tolist():
-                row = (int(sig[i]), int(cols[1][i]), int(cols[2][i]), int(cols[3][i]))
-                if before is None or before[0] != row[0]:
-                    before, pivot, told = row, row, False
+                row = (int(sig[i]), int(d1[i]), int(d2[i]), int(n[i]))
+                if key[i] != at or len(here) > 100_000:  # what is forgotten may be told twice
+                    at, here = key[i], set()
+                if row[0] != last:
+                    if len(held) == 2:
+                        out.extend((*h, False) for h in held)
+                    last, pivot, many, held = row[0], row[1:], False, [(*row, None, None)]
+                    here.add(row[1:3])
                     continue
-                if before[1:3] == row[1:3]:
+                if row[1:3] in here:
                     continue
-                if not told:
-                    out.append((*before, None, None))
-                    told = True
-                if pivot[3] * 100 >= percent * row[3]:
-                    out.append((*row, pivot[1], pivot[2]))
+                here.add(row[1:3])
+                if pivot[2] * 100 >= percent * row[3]:
+                    entry = (*row, *pivot[:2])
                 else:
-                    out.append((*row, None, None))
-                    pivot = row
-                before = row
+                    entry, pivot = (*row, None, None), row[1:]
+                if many:
+                    out.append((*entry, True))
+                    continue
+                held.append(entry)
+                if len(held) == 3:
+                    out.extend((*h, True) for h in held)
+                    many, held = True, []
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == 3 else pa.int64()) for k, c in enumerate(zip(*out, strict=True))], names)
+                yield told()
+        if len(held) == 2:
+            out.extend((*h, False) for h in held)
+            yield told()
 
-    dealt = index.repartition(parts, "sig").sortWithinPartitions("sig", "n", "d1", "d2")
-    return dealt.mapInArrow(run, "sig long, d1 long, d2 long, n int, p1 long, p2 long")
+    dealt = index.repartition(parts, F.shiftright("sig", 16)).sortWithinPartitions("sig")
+    return dealt.mapInArrow(run, "sig long, d1 long, d2 long, n int, p1 long, p2 long, many boolean")
 
 
 def sketch(tokens: np.ndarray) -> bytes:
@@ -389,13 +398,24 @@ class _Window:
         return [x for x in found if self.comp[x[1]] != comp]
 
 
-def _crossing(lists: DataFrame, labels: DataFrame, sketches: DataFrame, percent: int, closest: bool) -> DataFrame:
+def _labels_of(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """(sig, n, d1, d2, c1, c2): entries with their component."""
+    known = lists.select("sig", "d1", "d2", "n").join(labels, ["d1", "d2"], "left")
+    return known.select("sig", "n", "d1", "d2", F.coalesce("c1", "d1").alias("c1"), F.coalesce("c2", "d2").alias("c2"))
+
+
+def _mixed(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """(sig, n, d1, d2): entries of lists that hold several components."""
+    known = _labels_of(lists, labels)
+    mixed = known.groupBy("sig").agg(F.min("c1").alias("a"), F.max("c1").alias("b"), F.min("c2").alias("c"), F.max("c2").alias("d")).where("a <> b or c <> d").select("sig")
+    return known.select("sig", "n", "d1", "d2").join(mixed, "sig")
+
+
+def _crossing(mixed: DataFrame, labels: DataFrame, sketches: DataFrame, percent: int, closest: bool) -> DataFrame:
     """(x1, x2, y1, y2): pairs of one list whose components differ, and whose sizes and bitmaps allow a link; with
     closest, of each entry's pairs in a list only the one whose bitmaps differ least."""
-    parts = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    known = lists.select("sig", "d1", "d2", "n").join(labels, ["d1", "d2"], "left").select("sig", "n", "d1", "d2", F.coalesce("c1", "d1").alias("c1"), F.coalesce("c2", "d2").alias("c2"))
-    mixed = known.groupBy("sig").agg(F.min("c1").alias("a"), F.max("c1").alias("b"), F.min("c2").alias("c"), F.max("c2").alias("d")).where("a <> b or c <> d").select("sig")
-    drawn = known.join(mixed, "sig").join(sketches.select("d1", "d2", "sketch"), ["d1", "d2"])
+    parts = int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    drawn = _labels_of(mixed, labels).join(sketches.select("d1", "d2", "sketch"), ["d1", "d2"])
     dealt = drawn.select("sig", "n", "d1", "d2", "c1", "c2", "sketch").repartition(parts, "sig").sortWithinPartitions("sig", "n", "d1", "d2")
     names = ["x1", "x2", "y1", "y2"]
 
@@ -445,14 +465,15 @@ def _labelled(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFra
     sets = rows.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.min("xh").alias("xh"))
     wanted = materialise(lists.select("d1", "d2").distinct().join(sets, ["d1", "d2"]).select("d1", "d2", "xh"), "wanted")
     sketches = materialise(_sketches(docs, wanted, n), "sketches")
-    stars = lists.where("p1 is not null").select(F.col("d1").alias("x1"), F.col("d2").alias("x2"), F.col("p1").alias("y1"), F.col("p2").alias("y2")).distinct()
+    stars = lists.where("p1 is not null").select(F.col("d1").alias("x1"), F.col("d2").alias("x2"), F.col("p1").alias("y1"), F.col("p2").alias("y2")).where("x1 <> y1 or x2 <> y2").distinct()
     found = materialise(_verify(materialise(_plausible(stars, sketches, percent), "stars"), docs, wanted, n, percent), "links")
     labels = components(found)
     # What the pivots left apart: first each entry with the closest entry of another component, then, between what is
     # still apart, all pairs that can be linked.
-    near = materialise(_crossing(lists, labels, sketches, percent, closest=True), "near")
+    mixed = materialise(_mixed(lists.where("many"), labels), "mixed")
+    near = materialise(_crossing(mixed, labels, sketches, percent, closest=True), "near")
     found, labels = _grown(found, labels, _verify(near, docs, wanted, n, percent))
-    rest = materialise(_crossing(lists, labels, sketches, percent, closest=False).join(near, ["x1", "x2", "y1", "y2"], "left_anti"), "rest")
+    rest = materialise(_crossing(_mixed(mixed, labels), labels, sketches, percent, closest=False).join(near, ["x1", "x2", "y1", "y2"], "left_anti"), "rest")
     found, labels = _grown(found, labels, _verify(rest, docs, wanted, n, percent))
     return rows, sets, labels
 
