@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -15,9 +16,13 @@ from .common import materialise, need
 
 #: Bound of the labelled rows that the classifier is learned from.
 MAX_FIT_ROWS = 10_000
+#: Most domains that labels may name; the classifier holds one vector of weights for each.
+MAX_DOMAINS = 1000
 #: Share of the tokens that each value of labels.quality is to have.
 TARGETS = {"1": 0.9, "0": 0.1}
 CLASSES = 20
+#: Share of all tokens by which a domain may miss its target; a fit that ends further away gives a warning.
+CLOSE = 1e-4
 
 
 def _byte_classes() -> np.ndarray:
@@ -93,11 +98,14 @@ def fit_domains(docs: DataFrame, labels: DataFrame, domain_col: str = "quality",
     """Domains (sorted names of the labelled values) and the packed classifier; None where fewer than two are labelled.
 
     About max_rows labelled rows at most are used, chosen by a hash of the id; one task, whose input that bound limits,
-    fits the weights. Rows with a null id or label are left out; of several labels of a document the least counts.
+    fits the weights. Rows with a null id or label are left out; of several labels of a document the least counts. More
+    than MAX_DOMAINS values raise a ValueError before any fitting.
     """
     need(labels, "doc_id", domain_col)
     known = labels.select("doc_id", F.col(domain_col).cast("string").alias("_domain")).dropna().groupBy("doc_id").agg(F.min("_domain").alias("_domain"))
-    sizes = known.groupBy("_domain").count().orderBy("_domain").limit(1000).collect()
+    sizes = known.groupBy("_domain").count().orderBy("_domain").limit(MAX_DOMAINS + 1).collect()
+    if len(sizes) > MAX_DOMAINS:
+        raise ValueError(f"{domain_col} has more than {MAX_DOMAINS} values; a domain needs one of few")
     domains, total = [r["_domain"] for r in sizes], sum(r["count"] for r in sizes)
     if len(domains) < 2:
         return domains, None
@@ -147,7 +155,7 @@ def rate_sql(steps: list[list[float]]) -> str:
     return out
 
 
-def fit_rates(members: DataFrame, targets: list[float], most: int = 25, close: float = 1e-4) -> tuple[list[list[float]], float]:
+def fit_rates(members: DataFrame, targets: list[float], most: int = 25, close: float = CLOSE) -> tuple[list[list[float]], float]:
     """Steps of projected-gradient least squares on the rates, and the residual's size over all tokens.
 
     Minimises the squared distance of the expected domain totals, sum of rate * tokens * posterior, from the targets
@@ -199,13 +207,16 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     wanted = [float((targets or TARGETS).get(d, 0.0)) for d in domains]
     steps: list[list[float]] = []
     if model is not None and sum(wanted) > 0:
-        steps, _ = fit_rates(members, [w / sum(wanted) for w in wanted])
+        steps, off = fit_rates(members, [w / sum(wanted) for w in wanted])
+        if off > CLOSE:
+            warnings.warn(f"the targets were not met: a domain's share of the tokens is off by {off:.2g}", stacklevel=2)
     luck = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(17)), F.lit(1 << 40)) / F.lit(float(1 << 40))
     rated = members.withColumn("rate", F.expr(rate_sql(steps)))
     return rated.withColumn("copies", (F.floor("rate") + F.when(luck < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int"))
 
 
 def resample(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, domain_col: str = "quality") -> DataFrame:
-    """docs with each row as often as its copies say; columns and their order stay."""
-    mixed = mix(docs, labels, targets, domain_col, keep=docs.columns)
-    return mixed.where(F.col("copies") > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    """docs with each row as often as its copies say; columns and their order stay, whatever their names."""
+    held = docs.select("doc_id", "text", F.struct(*docs.columns).alias("_given"))
+    mixed = mix(held, labels, targets, domain_col, keep=["doc_id", "_given"]).where(F.col("copies") > 0)
+    return mixed.select("_given", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).select("_given.*")

@@ -6,6 +6,8 @@ from bisect import bisect_left, insort
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ from .common import WORD_GAP, need
 
 #: Pieces that one task packs together; more pieces make more groups, not larger ones.
 GROUP = 4096
+#: Copies of one row that are numbered at a time.
+RUN = 4096
 
 
 class BestFit:
@@ -83,26 +87,30 @@ def pack(items: DataFrame, id_col: str = "doc_id", size_col: str = "n_tokens", s
     spreads over all groups. bin_id is unique over all groups; bin_offset is the first token's place in the bin.
 
     A null size counts as 0, a size of 0 or less takes no room but gets a place; null sources and null clusters are
-    one source, and no cluster at all; a null id stays; repeated rows are packed each (rows of one id are told apart by
-    a running copy number); an empty table gives an empty table. Other columns are not returned.
+    one source, and no cluster at all; a null id stays; repeated rows are packed each (equal ones are told apart by a
+    copy number); an empty table gives an empty table. Other columns are not returned.
     """
     need(items, id_col, size_col, source_col, cluster_col)
     size = F.greatest(F.coalesce(F.col(size_col).cast("long"), F.lit(0)), F.lit(0)).cast("long")
     rows = items.select(F.col(id_col).alias("_id"), size.alias("_size"), F.col(source_col).cast("string").alias("_source"), F.col(cluster_col).cast("string").alias("_cluster"))
     groups = max(1, -(-rows.count() // group))
-    # Equal rows would share a group by their hash alone; the running number deals them out as well.
-    rows = rows.withColumn("_group", F.pmod(F.xxhash64("_id", "_size", "_cluster", F.monotonically_increasing_id() % 1009), F.lit(groups)))
+    # Equal rows are told apart by a copy number, so the groups depend on the rows alone and a row that repeats without
+    # end spreads over all of them.
+    each = rows.groupBy("_id", "_size", "_source", "_cluster").agg(F.count("*").alias("_n"))
+    each = each.withColumn("_run", F.explode(F.expr(f"sequence(0L, (_n - 1) div {RUN})")))
+    each = each.withColumn("_copy", F.explode(F.expr(f"sequence(_run * {RUN}L, least((_run + 1) * {RUN}L, _n) - 1)"))).drop("_n", "_run")
+    dealt = each.withColumn("_group", F.pmod(F.xxhash64("_id", "_size", "_source", "_cluster", "_copy"), F.lit(groups)))
     id_type = dict(rows.dtypes)["_id"]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_size", "_id", "_cluster", "_source"], ascending=[False, True, True, True], kind="stable", na_position="first").reset_index(drop=True)
-        sizes = pdf["_size"].to_numpy(np.int64)
+    def run(table: pa.Table) -> pa.Table:
+        table = table.take(pc.sort_indices(table, sort_keys=[("_size", "descending"), *((c, "ascending") for c in ("_id", "_cluster", "_source", "_copy"))]))
+        sizes = table["_size"].to_numpy()
         full, rest = sizes // capacity, sizes % capacity
         full = np.where((rest == 0) & (full > 0), full - 1, full)
         rest = sizes - full * capacity
-        sources, _ = pd.factorize(pdf["_source"].fillna("\0"))
-        clusters = pdf["_cluster"].where(pdf["_cluster"].notna(), pd.Series([f"\0{i}" for i in range(len(pdf))], dtype=object))
-        clusters, _ = pd.factorize(clusters)
+        sources, _ = pd.factorize(table["_source"].to_pandas().fillna("\0"))
+        clusters = [f"\0{i}" if c is None else c for i, c in enumerate(table["_cluster"].to_pylist())]
+        clusters, _ = pd.factorize(np.array(clusters, dtype=object))
         bins = pack_group(rest.tolist(), sources.tolist(), clusters.tolist(), capacity, source_share)
         out: list[tuple[int, int, int, int, int]] = []
         used: dict[int, int] = {}
@@ -115,10 +123,12 @@ def pack(items: DataFrame, id_col: str = "doc_id", size_col: str = "n_tokens", s
             out.append((i, int(full[i]), int(rest[i]), bins[i], used.get(bins[i], 0)))
             used[bins[i]] = used.get(bins[i], 0) + int(rest[i])
         at, piece, tokens, bin_no, offset = (np.array(c, np.int64) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 5
-        g = int(pdf["_group"].iloc[0]) if len(pdf) else 0
-        return pd.DataFrame({id_col: pdf["_id"].to_numpy()[at], "piece": piece.astype(np.int32), "n_pieces": (full[at] + 1).astype(np.int32), "n_tokens": tokens, "bin_id": bin_no * groups + g, "bin_offset": offset})
+        g = table["_group"][0].as_py() if len(table) else 0
+        # Ids never leave Arrow, so large ones stay exact beside nulls.
+        columns = [table["_id"].take(pa.array(at)), piece.astype(np.int32), (full[at] + 1).astype(np.int32), tokens, bin_no * groups + g, offset]
+        return pa.table(columns, [id_col, "piece", "n_pieces", "n_tokens", "bin_id", "bin_offset"])
 
-    return rows.groupBy("_group").applyInPandas(run, f"`{id_col}` {id_type}, piece int, n_pieces int, n_tokens long, bin_id long, bin_offset long")
+    return dealt.groupBy("_group").applyInArrow(run, f"`{id_col}` {id_type}, piece int, n_pieces int, n_tokens long, bin_id long, bin_offset long")
 
 
 def pack_documents(docs: DataFrame, capacity: int = 2048) -> DataFrame:

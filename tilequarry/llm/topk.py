@@ -21,6 +21,10 @@ QUERY_BLOCK, CANDIDATE_BLOCK = 1024, 4096
 LISTS = 4
 
 
+#: Stands for a cutoff that is not known.
+NONE = -(1 << 63)
+
+
 def quantise(vectors: DataFrame, id_col: str, vector_col: str, scale: int = 256) -> DataFrame:
     """(vec_id, v): floor(scale * x) of each component as double; vectors null or with null, NaN or infinite components are left out."""
     x = F.transform(F.col(vector_col), lambda e: e.cast("double"))
@@ -47,13 +51,16 @@ def _local(q: np.ndarray, c: np.ndarray, part: slice) -> np.ndarray:
 
 
 def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k highest scores, ties to the smaller id."""
+    """Positions of the k ids of highest score, each at its best row; ties go to the smaller id."""
+    at = np.arange(len(scores))
     if len(scores) > k:
         cut = np.partition(scores, len(scores) - k)[len(scores) - k]
-        at = np.flatnonzero(scores >= cut)
-    else:
-        at = np.arange(len(scores))
-    return at[np.lexsort((ids[at], -scores[at]))][:k]
+        some = np.flatnonzero(scores >= cut)
+        if len(np.unique(ids[some])) >= k:
+            at = some
+    order = at[np.lexsort((ids[at], -scores[at]))]
+    _, first = np.unique(ids[order], return_index=True)
+    return order[np.sort(first)][:k]
 
 
 def _rows(found: list[tuple[int, np.ndarray, np.ndarray]]) -> pd.DataFrame:
@@ -84,7 +91,7 @@ def _gather(queries: pd.DataFrame, candidates: pd.DataFrame, k: int, lists: int)
 
 
 def _collect(queries: pd.DataFrame, candidates: pd.DataFrame, k: int, lists: int) -> pd.DataFrame:
-    """Phases two and three for one pair of blocks; queries carry their cutoff (null: none is known)."""
+    """Phases two and three for one pair of blocks; queries carry their cutoff (NONE: none is known)."""
     if not len(queries) or not len(candidates):
         return _rows([])
     q, c, ids = _matrix(queries["v"]), _matrix(candidates["v"]), candidates["vec_id"].to_numpy(np.int64)
@@ -93,8 +100,7 @@ def _collect(queries: pd.DataFrame, candidates: pd.DataFrame, k: int, lists: int
     found = []
     for i, (query, cutoff) in enumerate(zip(queries["query_id"].to_numpy(np.int64), queries["cutoff"].tolist(), strict=True)):
         keep = ids != query
-        if cutoff is not None and cutoff == cutoff:
-            cutoff = int(cutoff)
+        if cutoff != NONE:
             share = cutoff // len(parts)  # rounded down, which collects no fewer
             # Phase two: collected entries; a local score that was not collected is below the share.
             sent = [scores[i] >= share for scores in local]
@@ -103,7 +109,7 @@ def _collect(queries: pd.DataFrame, candidates: pd.DataFrame, k: int, lists: int
         at = np.flatnonzero(keep)
         # Phase three: the remaining local scores of these, exactly.
         total = sum(scores[i, at] for scores in local)
-        if cutoff is not None and cutoff == cutoff:
+        if cutoff != NONE:
             at, total = at[total >= cutoff], total[total >= cutoff]
         top = _best(ids[at], total, k)
         found.append((int(query), ids[at][top], total[top]))
@@ -114,15 +120,15 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, lists: int = LISTS
     """(query_id, rank, vec_id, score): the k highest inner products of each query with the vectors of other ids.
 
     vectors and queries: (vec_id long, v array<long>). Ties go to the smaller vec_id; a query with fewer than k
-    candidates gets all. Only vectors of the same length are compared. A vec_id that occurs in several rows counts once,
-    with the least of its vectors. Empty tables give an empty result.
+    candidates gets all. Only vectors of the same length are compared. Every row takes part: where a vec_id occurs in
+    several rows, its score is the highest of theirs. Empty tables give an empty result.
 
     Queries and candidates are dealt into blocks of bounded size by a hash of the id; each pair of blocks is one group.
     A pair sends on at most k entries for a query, so a vector that a third of all rows share does no harm.
     """
     need(vectors, "vec_id", "v")
     need(queries, "vec_id", "v")
-    vectors, queries = (x.groupBy("vec_id").agg(F.min("v").alias("v")) for x in (vectors, queries))
+    vectors, queries = (x.select(*(F.col(c).alias(c) for c in ("vec_id", "v"))).distinct() for x in (vectors, queries))
     n_queries, n_vectors = max(1, -(-queries.count() // QUERY_BLOCK)), max(1, -(-vectors.count() // CANDIDATE_BLOCK))
     asked = queries.select(F.col("vec_id").alias("query_id"), "v", F.size("v").alias("_width"), F.pmod(F.xxhash64("vec_id"), F.lit(n_queries)).alias("_q"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_vectors - 1).cast("long"))).alias("_c"))
     given = vectors.select("vec_id", "v", F.size("v").alias("_width"), F.pmod(F.xxhash64("vec_id"), F.lit(n_vectors)).alias("_c"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_queries - 1).cast("long"))).alias("_q"))
@@ -137,11 +143,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, lists: int = LISTS
 
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     heads = asked.groupBy(*keys).cogroup(given.groupBy(*keys)).applyInPandas(gather, schema)
-    ranked = heads.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= k)
+    ranked = heads.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= k)
     cutoffs = ranked.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("cutoff"))
-    asked = asked.join(cutoffs, "query_id", "left")
+    # Not null, which would make the column a double and round high cutoffs.
+    asked = asked.join(cutoffs, "query_id", "left").withColumn("cutoff", F.coalesce("cutoff", F.lit(NONE)))
     entries = asked.groupBy(*keys).cogroup(given.groupBy(*keys)).applyInPandas(collect, schema)
-    return entries.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = entries.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    return best.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def search_embeddings(embeddings: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
