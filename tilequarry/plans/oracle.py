@@ -144,12 +144,12 @@ METRES = "SELECT c_custkey, -385000::DOUBLE + (c_custkey % 500) * 10::DOUBLE AS
 ORACLE_SQL: dict[str, str] = {
     "hierarchical_search": _with(*SEARCH) + SHOW + " FROM hits",
     "l2_normalize": _with(BASE) + _list("tiles", "tile_id"),
-    "pairwise_inner_product": _with(BASE) + "SELECT a.tile_id AS a_id, b.tile_id AS b_id, round(list_inner_product(a.v, b.v), 6) + 0.0::DOUBLE AS score FROM tiles a, tiles b WHERE a.tile_id % 25 = 0 AND b.tile_id % 20 = 0",
+    "pairwise_inner_product": _with(BASE) + "SELECT a.tile_id AS a_id, b.tile_id AS b_id, round(list_inner_product(a.v, b.v), 6) + 0.0::DOUBLE AS score FROM tiles a, tiles b WHERE a.tile_id % 100 = 0",
     "tile_catalog": _with(BASE, WINDOWS)
     + "SELECT tile_id, source_point_id, wc AS window_col_off, wr AS window_row_off, round(cx, 3) + 0.0::DOUBLE AS center_x, round(cy, 3) + 0.0::DOUBLE AS center_y, round(wc * 0.15::DOUBLE, 3) + 0.0::DOUBLE AS minx, round(-wr * 0.15::DOUBLE - 1024 * 0.15::DOUBLE, 3) + 0.0::DOUBLE AS miny, round(wc * 0.15::DOUBLE + 1024 * 0.15::DOUBLE, 3) + 0.0::DOUBLE AS maxx, round(-wr * 0.15::DOUBLE, 3) + 0.0::DOUBLE AS maxy, round(153.6::DOUBLE, 3) AS tile_m, round(76.8::DOUBLE, 3) AS stride_m, page_id, page_row, page_col FROM inside",
     "page_bbox": _with(BASE, PAGES) + "SELECT page_int_id, page_id, page_row, page_col, " + ", ".join(f"round({c}, 3) + 0.0::DOUBLE AS {c}" for c in ("minx", "miny", "maxx", "maxy")) + ", tile_count FROM pages",
     "page_id_parse": "SELECT vec_id, page_id, nullif(regexp_extract(page_id, '^p(\\d{4})_(\\d{4})$', 1), '')::INTEGER AS page_row, nullif(regexp_extract(page_id, '^p(\\d{4})_(\\d{4})$', 2), '')::INTEGER AS page_col FROM (SELECT vec_id, printf('p%04d_%04d', vec_id - 3, vec_id * 37) AS page_id FROM embeddings)",
-    "catalog_embedding_join": _with(BASE, WINDOWS) + "SELECT source_point_id AS tile_id, page_id, round(cx, 3) + 0.0::DOUBLE AS center_x, 64::INTEGER AS dim FROM inside WHERE source_point_id % 3 = 0",
+    "catalog_embedding_join": _with(BASE, WINDOWS) + "SELECT source_point_id AS tile_id, page_id, round(cx, 3) + 0.0::DOUBLE AS center_x, 64::INTEGER AS dim FROM inside",
     "embedding_coverage_anti": _with(BASE, WINDOWS) + "SELECT vec_id AS tile_id FROM embeddings WHERE vec_id NOT IN (SELECT source_point_id FROM inside)",
     "page_int_lookup": _with(BASE, PAGES) + "SELECT tile_id, page_id, page_int_id FROM tiles JOIN pages USING (page_id)",
     "coarse_descriptors": _with(BASE, COARSE) + _list("coarse", "page_id"),
@@ -174,7 +174,7 @@ cand AS (SELECT query_id, page_id, q, page_score, prank FROM first_cand UNION AL
     "page_neighbours": _with(BASE, PAGES) + "SELECT a.page_id, b.page_id AS neighbour_id FROM pages a JOIN pages b ON abs(a.page_row - b.page_row) <= 1 AND abs(a.page_col - b.page_col) <= 1 AND a.page_id <> b.page_id",
     "recall_at_k": _with(*SEARCH, _errors()) + f"SELECT count(*) AS n, {_recalls()} FROM errors",
     "error_percentiles": _with(*SEARCH, _errors()) + "SELECT count(*) AS n, round(median(error_m), 3) + 0.0::DOUBLE AS median_error_m, round(avg(error_m), 3) + 0.0::DOUBLE AS mean_error_m, round(quantile_cont(error_m, 0.9), 3) + 0.0::DOUBLE AS p90_error_m FROM errors",
-    "per_query_top1": _with(*SEARCH) + "SELECT q.query_id, round(gt_x, 3) + 0.0::DOUBLE AS gt_x, round(gt_y, 3) + 0.0::DOUBLE AS gt_y, coalesce(h.tile_id, -1) AS top1_tile_id, coalesce(round(h.score, 6), -2.0::DOUBLE) AS top1_score, coalesce(h.page_id, '') AS top1_page_id FROM truth q LEFT JOIN (SELECT * FROM hits WHERE rank = 1 AND query_id % 30 <> 0) h USING (query_id)",
+    "per_query_top1": _with(*SEARCH) + "SELECT q.query_id, round(gt_x, 3) + 0.0::DOUBLE AS gt_x, round(gt_y, 3) + 0.0::DOUBLE AS gt_y, coalesce(h.tile_id, -1) AS top1_tile_id, coalesce(round(h.score, 6), -2.0::DOUBLE) AS top1_score, coalesce(h.page_id, '') AS top1_page_id FROM truth q LEFT JOIN (SELECT * FROM hits WHERE rank = 1) h USING (query_id)",
     "partition_vs_exhaustive": _with(BASE, COARSE, *(_by_pages(n, i) for i, n in enumerate((1, 3, 5, 1000)))) + " UNION ALL ".join(f"SELECT {n}::INTEGER AS top_pages, count(*) AS n, {_recalls()} FROM errors{i}" for i, n in enumerate((1, 3, 5, 1000))),
     "latency_summary": f"SELECT stage, count(*) AS n, round(avg(ms), 4) + 0.0::DOUBLE AS mean_ms, round(median(ms), 4) + 0.0::DOUBLE AS median_ms, round(quantile_cont(ms, 0.9), 4) + 0.0::DOUBLE AS p90_ms, round(quantile_cont(ms, 0.99), 4) + 0.0::DOUBLE AS p99_ms FROM ({SAMPLES}) GROUP BY stage",
     "stage_pivot_total": f"SELECT *, round(coalesce(click_ms, 0) + coalesce(view_ms, 0) + coalesce(purchase_ms, 0), 4) AS total_ms FROM (SELECT query_index, " + ", ".join(f"round(sum(CASE WHEN stage = '{s}' THEN ms END), 4) AS {s}_ms" for s in ("click", "view", "purchase")) + f" FROM ({SAMPLES}) GROUP BY query_index)",
