@@ -9,13 +9,13 @@ Words have one global order, rare ones first. Of two similar sets let one lack a
 order, a word of the other set's own breaks one. So similar sets have one of their first 2 (1 - t) n + 1 pairs of
 neighbours in common, and these pairs are the index keys (the prefix). Sets that have nothing to do with each other share
 many words, but hardly ever a pair of neighbours, so lists hold little besides similar lines at any size of the corpus.
-Postings carry the size of the set and the place of the pair for the length and position filters. The few classes that
-share a list with others get a parity bitmap, whose difference never exceeds the sets' difference: it ends chance pairs
-before any words move. What is left is verified on the words of both lines.
+Postings carry the size of the set, the place of the pair and a parity bitmap, whose difference never exceeds the sets'
+difference, for the length, position and bitmap filters; a longer bitmap ends most other chance pairs before any words
+move. What is left is verified on the words of both lines.
 
-One earlier match settles a line. So a class is first held against the likeliest of its lists' earliest classes alone;
-only where these two are not similar is it paired with the rest of its lists. The variants of one line thus give one pair
-each.
+One earlier match settles a line. So a class is first held against the likeliest earlier class alone, where in long lists
+only the earliest class counts; then against the other candidates, and only if none is similar, against all of its long
+lists. The variants of one line thus give one pair each.
 """
 
 from __future__ import annotations
@@ -30,6 +30,10 @@ from .sharding import number_rows
 
 #: Slots of the table of word frequencies; fixed, so what every task holds never grows.
 SLOTS = 1 << 18
+#: The largest size and place that a posting states; the filters let longer lines pass.
+MOST = (1 << 16) - 1
+#: Classes of a list up to which all its pairs are looked at; in longer lists the earliest class comes first.
+SHORT = 16
 #: ASCII white space other than the space and the line feed.
 _GAPS = "\t\x0b\x0c\r"
 
@@ -93,20 +97,22 @@ def _order(classes: DataFrame) -> Column:
 
 
 def _postings(classes: DataFrame, table: Column, percent: int) -> DataFrame:
-    """(key, pos, m): the index keys of each class; m holds size and place. Below t = 0.8 short sets may have too few pairs
-    of neighbours, so there the first words alone are the keys."""
+    """(key, pos, m): the index keys of each class; m holds size, place and 32 bits of parity. Below t = 0.8 short sets
+    may have too few pairs of neighbours, so there the first words alone are the keys."""
     code = lambda w: F.shiftleft(F.get(table, w.bitwiseAND(F.lit(SLOTS - 1)).cast("int")).cast("long"), 52)
     # No element is null, and arrays that cannot hold nulls are sorted as plain longs.
     rank = lambda w: F.coalesce(code(w).bitwiseOR(w.bitwiseAND(F.lit((1 << 52) - 1))), F.lit(0).cast("long"))
-    sets = classes.select("pos", "n", F.sort_array(F.transform("w", rank)).alias("ids"))
+    bits = F.col("p0").bitwiseXOR(F.shiftrightunsigned("p0", 32)).bitwiseAND(F.lit((1 << 32) - 1))
+    size = F.shiftleft(F.least("n", F.lit(MOST)).cast("long"), 48)
+    sets = classes.select("pos", "n", size.bitwiseOR(bits).alias("m"), F.sort_array(F.transform("w", rank)).alias("ids"))
     if percent >= 80:
         pairs = F.expr(f"transform(slice(ids, 1, least(n - 1, {2 * (100 - percent)} * n div 100 + 1)), (x, i) -> x ^ shiftleft(get(ids, i + 1), 7))")
         # A set that is similar to equal sets only has one key, the whole of it.
         keys = F.when(F.expr(f"100 * n div {percent} = n and {100 - percent} * n < 100"), F.array(F.xxhash64("ids"))).otherwise(pairs)
     else:
         keys = F.expr(f"slice(ids, 1, {100 - percent} * n div 100 + 1)")
-    each = sets.select("pos", "n", F.posexplode(keys).alias("place", "key"))
-    return each.select("key", "pos", F.expr("shiftleft(cast(n as long), 32) | place").alias("m"))
+    each = sets.select("pos", "m", F.posexplode(keys).alias("place", "key"))
+    return each.select("key", "pos", F.expr(f"m | shiftleft(cast(least(place, {MOST}) as long), 32)").alias("m"))
 
 
 def _needed(x: str, y: str, percent: int) -> str:
@@ -115,10 +121,15 @@ def _needed(x: str, y: str, percent: int) -> str:
 
 
 def _possible(x: str, y: str, percent: int) -> Column:
-    """Whether two postings of a key, by their m, can belong to similar sets: sizes and places of the key."""
-    nx, ny = (f"shiftright({m}, 32)" for m in (x, y))
-    px, py = (f"({m} & {(1 << 32) - 1}L)" for m in (x, y))
-    return F.expr(f"100 * least({nx}, {ny}) >= {percent} * greatest({nx}, {ny}) and least({px}, {py}) + least({nx} - {px}, {ny} - {py}) >= {_needed(nx, ny, percent)}")
+    """Whether two postings of a key, by their m, can belong to similar sets: sizes, places of the key and bitmaps."""
+    nx, ny = (f"shiftrightunsigned({m}, 48)" for m in (x, y))
+    px, py = (f"(shiftrightunsigned({m}, 32) & {MOST})" for m in (x, y))
+    needed = _needed(nx, ny, percent)
+    return F.expr(
+        f"greatest({nx}, {ny}) = {MOST} or (100 * least({nx}, {ny}) >= {percent} * greatest({nx}, {ny})"
+        f" and least({px}, {py}) + least({nx} - {px}, {ny} - {py}) >= {needed}"
+        f" and bit_count(({x} ^ {y}) & {(1 << 32) - 1}L) <= {nx} + {ny} - 2 * {needed})"
+    )
 
 
 def _apart(x: str, y: str) -> str:
@@ -147,27 +158,38 @@ def later_matches(classes: DataFrame, percent: int) -> DataFrame:
     whole = Window.partitionBy("key")
     seen = lists.select("*", F.count("*").over(whole).alias("k"), F.min(F.struct("pos", "m")).over(whole).alias("e")).where("k > 1")
     later = F.expr("e.pos < pos")
-    marked = seen.select("key", "pos", "m", (F.col("k") > 2).alias("more"), F.col("e.pos").alias("first"), later.alias("later"), (later & _possible("e.m", "m", percent)).alias("star"))
-    shared = materialise(marked.where("more or star"), "shared")
+    marked = seen.select("key", "pos", "m", "k", F.col("e.pos").alias("first"), later.alias("later"), (later & _possible("e.m", "m", percent)).alias("star"))
+    shared = materialise(marked.where("k > 2 or star"), "shared")
     sides = classes.select("a", "b", "pos", "n", "p0", "p1")
     side = lambda k: sides.select(F.col("pos").alias(k), *(F.col(c).alias(f"{k}_{c}") for c in sides.columns if c != "pos")).hint("shuffle_hash")
     near = F.expr(f"{_apart('x_p', 'y_p')} <= x_n + y_n - 2 * {_needed('x_n', 'y_n', percent)}")
-    stars = lambda some: shared.where(some).select(F.col("first").alias("x"), F.col("pos").alias("y"))
-    close = lambda some: some.join(side("y"), "y").join(side("x"), "x").where(near)
-    # Of the earliest classes the one with which a class shares most keys.
-    counts = stars("star").groupBy("x", "y").agg(F.count("*").alias("c")).groupBy("y").agg(F.max(F.struct("c", F.negative("x").alias("x"))).alias("b"))
-    best = materialise(close(counts.select("y", F.negative("b.x").alias("x"))), "pairs")
+
+    def close(pairs: DataFrame) -> DataFrame:
+        return materialise(pairs.select("x", "y").join(side("y"), "y").join(side("x"), "x").where(near), "near")
+
+    def named(rows: DataFrame, k: str) -> DataFrame:
+        return rows.select("key", *(F.col(c).alias(k if c == "pos" else f"{k}_{c}") for c in ("pos", "m", "n", "p0", "p1") if c in rows.columns))
+
+    # All pairs of short lists; those with the earliest class in long ones and in lists of two.
+    short = shared.where(f"k between 3 and {SHORT}")
+    stars = shared.where(f"star and (k = 2 or k > {SHORT})").select(F.col("first").alias("x"), F.col("pos").alias("y"))
+    pairs = named(short, "x").join(named(short.where("later"), "y"), "key").where(F.expr("x < y") & _possible("x_m", "y_m", percent)).select("x", "y")
+    candidates = materialise(stars.unionByName(pairs).groupBy("x", "y").agg(F.count("*").alias("c")), "candidates")
+    # First the one with which a class shares most keys.
+    likeliest = candidates.groupBy("y").agg(F.max(F.struct("c", F.negative("x").alias("x"))).alias("b")).select("y", F.negative("b.x").alias("x"))
+    best = close(likeliest)
     found = _verify(best, classes, percent)
-    # Classes that have no match yet are held against every list they are in.
-    rows = materialise(shared.where("more").select("key", "pos", "m", "later").join(sides.select("pos", "n", "p0", "p1").hint("shuffle_hash"), "pos"), "rows")
-    x, y = (rows.select("key", "later", *(F.col(c).alias(k if c == "pos" else f"{k}_{c}") for c in rows.columns if c not in ("key", "later"))) for k in ("x", "y"))
-    unmatched = lambda some: some.join(found.select("y"), "y", "left_anti")
-    lists = unmatched(y.where("later").drop("later")).join(x.drop("later"), "key").where(F.expr("x < y") & _possible("x_m", "y_m", percent) & near).select("x", "y")
-    rest = lists.unionByName(unmatched(stars("star and not more"))).distinct().join(best, ["x", "y"], "left_anti")
-    also_near = materialise(close(rest), "more")
-    also = _verify(also_near, classes, percent)
-    out = materialise(found.unionByName(also), "matches")
-    discard(shared, best, found, rows, also_near, also)
+    # Then, for classes that have no match yet, the others, and all earlier classes of their long lists.
+    others = close(candidates.join(found.select("y"), "y", "left_anti").join(best.select("x", "y"), ["x", "y"], "left_anti"))
+    also = _verify(others, classes, percent)
+    matched = found.unionByName(also)
+    rows = materialise(shared.where(f"k > {SHORT}").select("key", "pos", "m", "later").join(sides.drop("a", "b").hint("shuffle_hash"), "pos"), "rows")
+    open_ = named(rows.where("later"), "y").join(matched.select("y"), "y", "left_anti")
+    lists = named(rows, "x").join(open_, "key").where(F.expr("x < y") & _possible("x_m", "y_m", percent) & near).select("x", "y").distinct()
+    last = close(lists.join(candidates.select("x", "y"), ["x", "y"], "left_anti"))
+    rest = _verify(last, classes, percent)
+    out = materialise(matched.unionByName(rest), "matches")
+    discard(shared, candidates, best, found, others, also, rows, last, rest)
     return out
 
 
