@@ -137,6 +137,42 @@ def test_packing_keeps_every_token(spark):
     assert packing.pack(df.limit(0)).count() == 0
 
 
+def test_packing_odd_rows_and_layouts(spark):
+    rows = [(1152921504606846977, 30, "s", "k"), (None, 40, None, None), (None, 40, None, None), (5, 0, "s", "k"), (6, -3, "s", None)] + [(7, 25, "t", "c")] * 30
+    df = spark.createDataFrame(rows, "doc_id long, n_tokens long, source string, cluster string")
+    got = packing.pack(df, capacity=100, group=8).collect()
+    assert 1152921504606846977 in {r["doc_id"] for r in got} and len(got) == len(rows)
+    again = packing.pack(df.orderBy(F.rand(2)).repartition(7), capacity=100, group=8).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, again), key=str)
+    docs = spark.createDataFrame([(None, None, "s", 1), (1, "a b", None, 2)], "doc_id long, text string, source string, bin_id int")
+    assert sorted(r["n_tokens"] for r in packing.pack_documents(docs).collect()) == [1, 3]
+
+
+def test_top_k_counts_every_row_of_an_id(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.0]), (1, [0.9, 0.0]), (2, [0.6, 0.0]), (2, [0.6, 0.0])], "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in topk.search_embeddings(df, k=2).orderBy("rank").collect()]
+    assert got == [(0, 1, 1, 230 * 256), (0, 2, 2, 153 * 256)]
+
+
+def test_line_dedup_ids_that_are_no_numbers(spark):
+    rows = [("x1", "one two three\nfour five"), ("x2", "one two three\nsix"), (None, "six"), ("x3", None)]
+    got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got == {"x1": rows[0][1], "x2": "", None: "six", "x3": None}
+
+
+def test_line_dedup_long_lists(spark):
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(24)]
+    rows = []
+    for i in range(150):  # variants of one line, more than a short list holds, some too far from the first
+        line = list(base)
+        for _ in range(rng.randint(0, 7)):
+            line[rng.randrange(len(line))] = f"v{rng.randint(0, 30)}"
+        rows.append((i, " ".join(line)))
+    got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == _dedup(rows, 80, 1)
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 10, 97, 1000, 1024])
 def test_permutation(n):
     seed, x = 42, np.arange(n, dtype=np.int64)

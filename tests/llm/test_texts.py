@@ -101,6 +101,16 @@ def test_article_text():
     assert html.page_lines(None) == [] and html.page_lines("<<>") == [("<<>", False)] or html.page_lines("<<>") == [("<", False)]
 
 
+def test_names_inside_the_article():
+    inner = '<div class="article-header"><h1>Title</h1></div><p class="side effects">Effects</p><section id="related-work"><p>Work</p></section><div class="related-posts">More</div><div id="comments"><p>Reader</p></div><p>Body</p>'
+    assert [x for x, _ in html.page_lines(f"<body><div class='site-header'>Top</div><article>{inner}</article></body>")] == ["Title", "Effects", "Work", "Body"]
+
+
+def test_very_long_page():
+    long = "<article>" + "<p>word &amp; word</p>" * 50000 + "</article>"
+    assert len(html.page_lines(long)) == 50000
+
+
 def test_differencing_of_pages_without_article(spark):
     def page(*lines):
         return "<body>" + "".join(f"<p>{x}</p>" for x in lines) + "</body>"
@@ -242,6 +252,38 @@ def test_mixing_meets_targets(spark):
     assert again.columns == ["doc_id", "text", "extra"]
 
 
+def test_domains_beyond_the_bound_and_clashing_columns(spark):
+    lab = spark.range(1200).selectExpr("id as doc_id", "concat('d', id) as quality")
+    docs = spark.createDataFrame([(1, "a b", 7, 0.5), (1, "a b", 7, 0.5), (2, None, 8, 0.25)], "doc_id long, text string, n_tokens int, rate double")
+    with pytest.raises(ValueError, match="1000"):
+        mixing.mix(docs, lab)
+    got = mixing.resample(docs, lab.limit(0)).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(1, "a b", 7, 0.5), (1, "a b", 7, 0.5), (2, None, 8, 0.25)], key=str)
+
+
+def test_rates_equal_a_loop_by_hand(spark):
+    rng = np.random.default_rng(3)
+    steps = rng.normal(0, 0.4, (5, 2)).tolist()
+    posteriors = [(p, 1 - p) for p in rng.random(50)]
+    df = spark.createDataFrame([(i, list(map(float, p))) for i, p in enumerate(posteriors)], "i long, posteriors array<double>")
+    got = {r["i"]: r["rate"] for r in df.select("i", F.expr(mixing.rate_sql(steps)).alias("rate")).collect()}
+    for i, p in enumerate(posteriors):
+        rate = 1.0
+        for s in steps:
+            rate = max(0.0, rate - float(np.dot(p, s)))
+        assert got[i] == pytest.approx(rate)
+
+
+def test_rates_minimise_the_distance_to_the_targets(spark):
+    rng = np.random.default_rng(4)
+    p, n = rng.random(60), rng.integers(5, 50, 60)
+    df = spark.createDataFrame([(int(t), [float(a), float(1 - a)]) for a, t in zip(p, n, strict=True)], "n_tokens long, posteriors array<double>")
+    steps, off = mixing.fit_rates(df, [0.3, 0.7], most=60)
+    found = df.select("n_tokens", "posteriors", F.expr(mixing.rate_sql(steps)).alias("rate")).collect()
+    shares = [sum(r["rate"] * r["n_tokens"] * r["posteriors"][k] for r in found) / n.sum() for k in (0, 1)]
+    assert off <= mixing.CLOSE and shares == pytest.approx([0.3, 0.7], abs=2 * mixing.CLOSE)
+
+
 def test_rates_equal_projected_gradient_by_hand():
     steps = [[0.5, -0.2], [1.5, 0.0]]
     p, r = np.array([0.3, 0.7]), 1.0

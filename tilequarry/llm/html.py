@@ -25,18 +25,21 @@ CLOSES_P = {"address", "article", "aside", "blockquote", "details", "div", "dl",
 ROOTS = {"article", "main"}
 #: Words of class, id and role values that mark what is not the article.
 MARKS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu|breadcrumbs?|header|masthead|footer|sidebar|side|widget|related|share|social|cookies?|consent|notice|notification|alert|popup|modal|newsletter|subscribe|comments?|reply|replies|disqus|login|search|pagination|pager|complementary|contentinfo)(?:$|[\s_-])", re.I)
+#: Inside the article a name must be one of these as a whole, or with the word for a part of a page after it.
+INSIDE = re.compile(r"(?:ads?|banner|complementary|contentinfo|advert\w*|sponsor\w*|promo\w*|nav\w*|menu|breadcrumbs?|sidebar|widget|related|share|social|cookies?|consent|notice|notification|newsletter|subscribe|comments?|reply|replies|disqus|login|pagination|pager)(?:[_-](?:box|bar|list|form|area|section|block|slot|banner|buttons?|links?|posts?|articles?|wrapper|container|unit|\d+))*", re.I)
 TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|$)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)", re.I)
 
 
-def _marked(attributes: str) -> bool:
+def _marked(attributes: str, inside: bool) -> bool:
+    """Whether an element is marked as not being the article; inside says that it stands in an article or main element."""
     if not attributes:
         return False
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         value = a or b or c
         key = name.lower()
-        if key in ("class", "id", "role") and MARKS.search(value):
+        if key in ("class", "id", "role") and (any(map(INSIDE.fullmatch, value.split())) if inside else MARKS.search(value)):
             return True
         if key == "aria-hidden" and value.lower() == "true" or key == "style" and "display:none" in value.replace(" ", "").lower():
             return True
@@ -117,7 +120,7 @@ def page_lines(html: str | None) -> list[tuple[str, bool]]:
         skipped, root = state()
         if name in VOID or m[0].endswith("/>") and name not in RAW:
             continue
-        marked = name not in ("html", "body") and _marked(m[3])
+        marked = name not in ("html", "body") and _marked(m[3], root)
         drop = skipped or (name in SKIPPED and not (name == "header" and root)) or (marked and name not in ROOTS)
         if name in RAW:
             close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, at)
