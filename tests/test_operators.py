@@ -310,3 +310,35 @@ def test_streaming_cache_keeps_state_between_batches(spark, tmp_path):
     for (hit, gone, _), p in zip(_lru(pages, 2), pages, strict=True):
         want += [("cache_hit" if hit else "demand_load", p), *(("eviction", g) for g in gone)]
     assert got == want
+
+
+def test_synthetic_window_covers_every_angle():
+    synthetic.SyntheticConfig(rotation_deg=(-90.0, 90.0), oversample=1.5, scale=(1.0, 1.0)).check()
+    for bad in ({"rotation_deg": (-90.0, 90.0), "oversample": 1.2}, {"rotation_deg": (100.0, 140.0), "oversample": 1.45}, {"scale": (1.05, 0.8), "oversample": 1.6}):
+        with pytest.raises(ValueError):
+            synthetic.SyntheticConfig(**bad).check()
+
+
+def test_telemetry_takes_any_run_of_spaces(spark):
+    line = "RAM  3021/7620MB CPU   [12%@1510] GR3D_FREQ  45% VDD_IN   6210mW/6100mW"
+    r = telemetry.parse(spark.createDataFrame([(line,)], "raw string")).first()
+    assert (r["ram_used_mb"], r["gpu_util_pct"], r["cpu_util_pct_mean"], r["power_total_mw"], r["rails"]) == (3021, 45, 12.0, 6210.0, {"vdd_in": 6210.0})
+
+
+def test_reuse_distance(spark):
+    trace = spark.createDataFrame([("s", i, p) for i, p in enumerate("abcab")] + [("t", 0, "a"), ("t", 1, "a"), ("t", 2, None)], "session string, seq long, page_id string")
+    got = {(r["session"], r["seq"]): r["distance"] for r in cache.reuse_distances(trace).collect()}
+    assert got == {("s", 0): -1, ("s", 1): -1, ("s", 2): -1, ("s", 3): 2, ("s", 4): 2, ("t", 0): -1, ("t", 1): 0}
+
+
+def test_too_few_patches_are_an_error(spark):
+    tokens = spark.createDataFrame([(1, i, [1.0, 0.0]) for i in range(9)], "image_id long, token_idx int, v array<double>")
+    with pytest.raises(Exception, match="fewer than 16 patches"):
+        pooling.descriptor(tokens, "radial", 4, (4, 4), 2, 2).collect()
+
+
+def test_queries_without_candidates_or_embeddings(spark):
+    truth = spark.createDataFrame([(1, 0.0, 0.0), (2, 5.0, 5.0)], "query_id long, gt_x double, gt_y double")
+    found = spark.createDataFrame([(1, 1, 7, 0.5, "p")], "query_id long, rank int, tile_id long, score double, page_id string")
+    got = {r["query_id"]: (r["top1_tile_id"], r["top1_page_id"]) for r in evaluate.per_query(truth, found).collect()}
+    assert got == {1: (7, "p"), 2: (-1, "")}

@@ -22,13 +22,13 @@ def parse(lines: DataFrame, column: str = "raw") -> DataFrame:
     hold all zones and rails (current and average milliwatts) under lower-case names.
     """
     line = F.col(column)
-    cores = _all(F.regexp_extract(line, r"CPU \[([^\]]*)\]", 1), r"(\d+)%@", 1)
+    cores = _all(F.regexp_extract(line, r"CPU\s+\[([^\]]*)\]", 1), r"(\d+)%@", 1)
     loads = F.transform(cores, lambda c: c.cast("double"))
     zones = F.transform(_all(line, r"([A-Za-z0-9_]+)@(-?[0-9.]+)C", 1), F.lower)
     degrees = F.transform(_all(line, r"([A-Za-z0-9_]+)@(-?[0-9.]+)C", 2), lambda c: c.cast("double"))
-    rails = F.transform(_all(line, r"([A-Z0-9_]+) (\d+)mW/(\d+)mW", 1), F.lower)
-    now = F.transform(_all(line, r"([A-Z0-9_]+) (\d+)mW/(\d+)mW", 2), lambda c: c.cast("double"))
-    mean = F.transform(_all(line, r"([A-Z0-9_]+) (\d+)mW/(\d+)mW", 3), lambda c: c.cast("double"))
+    rails = F.transform(_all(line, r"([A-Z0-9_]+)\s+(\d+)mW/(\d+)mW", 1), F.lower)
+    now = F.transform(_all(line, r"([A-Z0-9_]+)\s+(\d+)mW/(\d+)mW", 2), lambda c: c.cast("double"))
+    mean = F.transform(_all(line, r"([A-Z0-9_]+)\s+(\d+)mW/(\d+)mW", 3), lambda c: c.cast("double"))
     pairs = F.filter(F.arrays_zip(zones.alias("z"), degrees.alias("d")), lambda p: p["z"].rlike("soc|tj|cpu"))
 
     def as_map(k: Column, v: Column) -> Column:
@@ -38,13 +38,13 @@ def parse(lines: DataFrame, column: str = "raw") -> DataFrame:
         return F.map_from_arrays(keys, F.transform(keys, lambda name: F.element_at(F.filter(zipped, lambda p: p["k"] == name), -1)["v"]))
 
     return lines.withColumns({
-        "ram_used_mb": _number(line, r"RAM (\d+)/(\d+)MB", "int"),
-        "ram_total_mb": _number(line, r"RAM (\d+)/(\d+)MB", "int", 2),
-        "gpu_util_pct": _number(line, r"GR3D_FREQ (\d+)%", "int"),
+        "ram_used_mb": _number(line, r"RAM\s+(\d+)/(\d+)MB", "int"),
+        "ram_total_mb": _number(line, r"RAM\s+(\d+)/(\d+)MB", "int", 2),
+        "gpu_util_pct": _number(line, r"GR3D_FREQ\s+(\d+)%", "int"),
         "cpu_util_pct_mean": F.when(F.size(loads) > 0, F.aggregate(loads, F.lit(0.0), lambda a, x: a + x) / F.size(loads)),
         "gpu_temp_c": _number(line, r"GPU@(-?[0-9.]+)C", "double"),
         "soc_temp_c": F.array_max(F.transform(pairs, lambda p: p["d"])),
-        "power_total_mw": _number(line, r"VDD_IN (\d+)mW", "double"),
+        "power_total_mw": _number(line, r"VDD_IN\s+(\d+)mW", "double"),
         "temps": as_map(zones, degrees),
         "rails": as_map(rails, now),
         "rail_means": as_map(rails, mean),

@@ -118,3 +118,32 @@ def neighbour_prefetches(trace: DataFrame, neighbours: DataFrame) -> DataFrame:
     near = neighbours.withColumn("i", F.row_number().over(order))
     ahead = trace.join(near, "page_id").select("session", (F.col("seq") * 16 + F.col("i")).alias("seq"), F.col("neighbour_id").alias("page_id"), F.lit("prefetch").alias("action"))
     return demand.unionByName(ahead)
+
+
+def reuse_distances(trace: DataFrame) -> DataFrame:
+    """(session, seq, page_id, distance) of a trace (session, seq, page_id): the distinct other pages since the page's
+    last access in its session, -1 at the first one.
+
+    An access hits a least-recently-used cache of capacity c exactly if its distance is at least 0 and below c, so one
+    pass gives the hits of all capacities. Sessions stream in order; the state is the session's pages by last access.
+    Accesses without a page are passed over.
+    """
+    parts = int(trace.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = trace.where("page_id is not null").select(F.col("session").cast("string").alias("session"), F.col("seq").cast("long").alias("seq"), F.col("page_id").cast("string").alias("page_id"))
+    dealt = rows.repartition(parts, "session").sortWithinPartitions("session", "seq")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        session, started, recent = None, False, []  # pages, the latest last
+        for batch in batches:
+            distances = []
+            for name, page in zip(batch.column("session").to_pylist(), batch.column("page_id").to_pylist(), strict=True):
+                if not started or name != session:
+                    session, started, recent = name, True, []
+                at = recent.index(page) if page in recent else -1
+                distances.append(len(recent) - 1 - at if at >= 0 else -1)
+                if at >= 0:
+                    del recent[at]
+                recent.append(page)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(distances, pa.int64())], ["session", "seq", "page_id", "distance"])
+
+    return dealt.mapInArrow(run, "session string, seq long, page_id string, distance long")

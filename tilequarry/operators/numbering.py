@@ -4,18 +4,26 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows up to which a side of a join may be broadcast; larger sides are joined by a shuffle or in blocks.
 BROADCAST_ROWS = 20_000
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a temporary one only in local mode, where none is configured."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (found or tempfile.mkdtemp(prefix="tilequarry-")).rstrip("/")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df cut off from its lineage by a reliable checkpoint in the configured shared folder."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tilequarry-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

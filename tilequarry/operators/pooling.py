@@ -69,7 +69,9 @@ def radial_pool(tokens: DataFrame, registers: int, grid_h: int, grid_w: int, bin
     p = p.withColumn("bin", radial_bin("patch", grid_h, grid_w, bins))
     each = p.select("image_id", "bin", F.posexplode(vectors.normalize("v")).alias("i", "x"))
     means = each.groupBy("image_id", "bin", "i").agg(F.avg("x").alias("m")).select("image_id", (F.col("bin") * dim + F.col("i")).alias("i"), "m")
-    slots = p.select("image_id").distinct().select("image_id", F.explode(F.sequence(F.lit(0), F.lit(bins * dim - 1))).alias("i"))
+    few = F.raise_error(F.lit(f"an image has fewer than {grid_h * grid_w} patches")).cast("array<int>")
+    places = F.when(F.col("n") >= grid_h * grid_w, F.sequence(F.lit(0), F.lit(bins * dim - 1))).otherwise(few)
+    slots = p.groupBy("image_id").agg(F.count("*").alias("n")).select("image_id", F.explode(places).alias("i"))
     filled = slots.join(means, ["image_id", "i"], "left").select("image_id", "i", F.coalesce("m", F.lit(0.0)).alias("m"))
     return _joined(filled)
 

@@ -182,6 +182,8 @@ cand AS (SELECT query_id, page_id, q, page_score, prank FROM first_cand UNION AL
     "radial_pool": _with(TOKENS, RINGS) + _list("pooled", "image_id"),
     "mean_patch_pool": _with(TOKENS, _means("patches")) + _list("pooled", "image_id"),
     "cls_descriptor": _with(TOKENS, "pooled AS (SELECT image_id, u AS v FROM tokens WHERE token_idx = 0)") + _list("pooled", "image_id"),
+    "reuse_distance": _with(TRACE)
+    + "SELECT a.session, a.seq, a.page_id, CASE WHEN a.before_seq IS NULL THEN -1 ELSE (SELECT count(DISTINCT b.page_id) FROM trace b WHERE b.session = a.session AND b.seq > a.before_seq AND b.seq < a.seq) END::BIGINT AS distance FROM linked a",
     "lru_hits": _with(TRACE) + "SELECT session, seq AS query_index, page_id, hit FROM access",
     "cache_events": _with(TRACE) + "SELECT * FROM log",
     "cache_evictions": _with(TRACE) + "SELECT session, seq AS query_index, page_id FROM evicted",

@@ -245,6 +245,10 @@ def _log(spark: SparkSession, d: str) -> DataFrame:
     return cache.simulate(_trace(spark, d), CAPACITY)
 
 
+def reuse_distance(spark: SparkSession, d: str) -> DataFrame:
+    return cache.reuse_distances(_trace(spark, d))
+
+
 def lru_hits(spark: SparkSession, d: str) -> DataFrame:
     log = _log(spark, d).where("event_type <> 'eviction'")
     return log.select("session", "query_index", "page_id", (F.col("event_type") == "cache_hit").alias("hit"))
@@ -318,9 +322,9 @@ def _streamed(spark: SparkSession, source: DataFrame, build, name: str) -> DataF
     """Run a streaming plan over a table's rows once and return what it appended, from files both can reach."""
     import uuid
 
-    from ..operators.numbering import checkpointed
+    from ..operators.numbering import checkpointed, shared_folder
 
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp").rstrip("/") + f"/{name}-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     checkpointed(source).write.parquet(f"{base}/in")
     stream = spark.readStream.schema(source.schema).parquet(f"{base}/in")
     query = build(stream).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").outputMode("append").trigger(availableNow=True).start()
@@ -344,7 +348,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         hierarchical_search, l2_normalize, pairwise_inner_product, tile_catalog, page_bbox, page_id_parse, catalog_embedding_join, embedding_coverage_anti, page_int_lookup,
         coarse_descriptors, coarse_top_pages, page_top_k, flat_top_k, search_with_local_page, multirotation_search, point_in_page, page_neighbours, recall_at_k, error_percentiles,
-        per_query_top1, partition_vs_exhaustive, latency_summary, stage_pivot_total, radial_bins, radial_pool, mean_patch_pool, cls_descriptor, lru_hits, cache_events,
+        per_query_top1, partition_vs_exhaustive, latency_summary, stage_pivot_total, radial_bins, radial_pool, mean_patch_pool, cls_descriptor, reuse_distance, lru_hits, cache_events,
         cache_evictions, cache_peaks, prefetch_outcomes, wgs84_to_krovak, krovak_to_wgs84, dms_to_degrees, synthetic_params, ground_window, telemetry_parse, ablation_summary,
         streaming_lru, streaming_telemetry,
     )
