@@ -30,6 +30,20 @@ def test_token_counts_equal_the_library(spark, library):
         assert got[i]["over_limit"] == (got[i]["n_tokens"] > 2048)
 
 
+def test_newer_characters_count_as_in_the_library(spark, library):
+    points = [p for a, b in (*tokens.NEW_LETTERS, *tokens.NEW_DIGITS) for p in range(a, b + 1)]
+    texts = [t.format(chr(p)) for p in points for t in ("a{}b", "!{}!", "1{0}{0} {0}")]
+    counter = tokens._counter(queries.vocabulary_path())
+    assert counter.counts(texts) == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_token_counts_of_repeated_rows_and_an_empty_table(spark, library):
+    df = spark.createDataFrame([(1, "some words"), (1, "some words"), (None, None)], "doc_id long, text string")
+    n = len(library.encode("some words", add_special_tokens=False))
+    assert sorted(r["n_tokens"] for r in tokens.count_tokens(df, queries.vocabulary_path()).collect()) == [0, n, n]
+    assert tokens.count_tokens(df.limit(0), queries.vocabulary_path()).count() == 0
+
+
 def test_token_counts_of_the_corpus(spark, small, library):
     rows = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()
     got = {r["doc_id"]: r["n_tokens"] for r in queries.op2_token_counts(spark, small).collect()}

@@ -42,6 +42,12 @@ MAX_STATES, MAX_WORDS = 120_000, 150_000
 WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 ENDINGS1, ENDINGS2 = "stmd", ("re", "ve", "ll")
 
+# Letters, digits and lower-case forms of Unicode 16, which the library knows and Python's tables may not.
+NEW_LETTERS = [(0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4), (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0)]
+NEW_DIGITS = [(0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA)]
+NEW_LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B} | {c: c + 0x20 for c in range(0x10D50, 0x10D66)}
+_NEW_UPPER = re.compile("[" + "".join(map(chr, NEW_LOWER)) + "]")
+
 
 def _scanner() -> tuple[np.ndarray, np.ndarray]:
     """Next state and start-of-token mark, by state and class."""
@@ -70,6 +76,9 @@ def _classes() -> np.ndarray:
             kinds[point] = LETTER
         elif c == "N":
             kinds[point] = DIGIT
+    for ranges, kind in ((NEW_LETTERS, LETTER), (NEW_DIGITS, DIGIT)):
+        for first, last in ranges:
+            kinds[first : last + 1] = kind
     kinds[WHITE] = SPACE
     return kinds
 
@@ -269,6 +278,8 @@ class TokenCounter:
     def normal(self, text: str) -> str:
         if not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
+        if not text.isascii() and _NEW_UPPER.search(text):
+            text = text.translate(NEW_LOWER)
         return text.replace("Σ", "σ").lower()
 
     def counts(self, texts: Iterable[str | None]) -> list[int]:
