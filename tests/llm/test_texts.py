@@ -1,5 +1,6 @@
 """Toxicity, token counts, HTML extraction, quality rules and mixing."""
 
+import math
 import random
 from zlib import crc32
 
@@ -304,3 +305,41 @@ def test_rates_equal_projected_gradient_by_hand():
     for s in steps:
         r = max(0.0, r - float(p @ s))
     assert mixing.rate_sql(steps).count("greatest") == 2 and r == pytest.approx(max(0.0, max(0.0, 1 - 0.01) - 0.45))
+
+
+def test_ftrl_equals_the_update_by_hand():
+    rng = np.random.default_rng(6)
+    alpha, beta, l1, l2, size = 0.7, 1.3, 0.2, 0.05, 12
+    model = toxicity.Ftrl(buckets=size, alpha=alpha, beta=beta, l1=l1, l2=l2)
+    z, n = [0.0] * (size + 1), [0.0] * (size + 1)
+
+    for _ in range(200):
+        at, label = np.unique(rng.integers(0, size, 4)), int(rng.integers(0, 2))
+        before = model.weights(np.arange(size + 1)).copy()
+        model.learn(at, label)
+        active = [*at.tolist(), size]
+        p = 1 / (1 + math.exp(-sum(before[i] for i in active)))
+        for i in active:
+            g = p - label
+            z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha * before[i]
+            n[i] += g * g
+        after = model.weights(np.arange(size + 1))
+        for i in range(size):
+            want = 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+            assert after[i] == pytest.approx(want, rel=1e-5, abs=1e-7)
+
+
+def test_kept_equals_the_list_by_hand(spark, small):
+    docs, labels = (spark.read.parquet(f"{small.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "labels"))
+    rules = [*quality.fit_rules(docs, labels), [("distinct_share", "<=", 0.4), ("exclaims_per_word", ">=", 0.0)]]
+
+    def value(row, name):
+        a, b = quality.FEATURES[name]
+        return float(row[a]) if b is None else float(row[a]) / row[b] if row[b] > 0 else 0.0
+
+    verdicts = set()
+    for r in quality.judge(docs.select("doc_id", "text"), rules).collect():
+        bad = any(all(value(r, name) >= cut if op == ">=" else value(r, name) <= cut for name, op, cut in rule) for rule in rules)
+        assert r["kept"] == (not r["base_failed"] and not bad)
+        verdicts.add((r["base_failed"], bad))
+    assert len(verdicts) >= 3
