@@ -14,8 +14,8 @@ difference, for the length, position and bitmap filters; a longer bitmap ends mo
 move. What is left is verified on the words of both lines.
 
 One earlier match settles a line. So a class is first held against the likeliest earlier class alone, where in long lists
-only the earliest class counts; then against the other candidates, and only if none is similar, against all of its long
-lists. The variants of one line thus give one pair each.
+only the earliest class counts; then against the other candidates, and only if none is similar, against all of its longest
+list, then of its other long ones. Most variants of one line thus give one pair each.
 """
 
 from __future__ import annotations
@@ -34,6 +34,8 @@ SLOTS = 1 << 18
 MOST = (1 << 16) - 1
 #: Classes of a list up to which all its pairs are looked at; in longer lists the earliest class comes first.
 SHORT = 16
+#: Longest lists that a row of a long list knows of its class; more only save work.
+TOPS = 4
 #: ASCII white space other than the space and the line feed.
 _GAPS = "\t\x0b\x0c\r"
 
@@ -168,28 +170,44 @@ def later_matches(classes: DataFrame, percent: int) -> DataFrame:
         return materialise(pairs.select("x", "y").join(side("y"), "y").join(side("x"), "x").where(near), "near")
 
     def named(rows: DataFrame, k: str) -> DataFrame:
-        return rows.select("key", *(F.col(c).alias(k if c == "pos" else f"{k}_{c}") for c in ("pos", "m", "n", "p0", "p1") if c in rows.columns))
+        return rows.select("key", *(F.col(c).alias(k if c == "pos" else f"{k}_{c}") for c in ("pos", "m", "n", "p0", "p1", "tops") if c in rows.columns))
 
     # All pairs of short lists; those with the earliest class in long ones and in lists of two.
     short = shared.where(f"k between 3 and {SHORT}")
-    stars = shared.where(f"star and (k = 2 or k > {SHORT})").select(F.col("first").alias("x"), F.col("pos").alias("y"))
-    pairs = named(short, "x").join(named(short.where("later"), "y"), "key").where(F.expr("x < y") & _possible("x_m", "y_m", percent)).select("x", "y")
-    candidates = materialise(stars.unionByName(pairs).groupBy("x", "y").agg(F.count("*").alias("c")), "candidates")
+    stars = shared.where(f"star and (k = 2 or k > {SHORT})").select(F.col("first").alias("x"), F.col("pos").alias("y"), (F.col("k") == 2).alias("short"))
+    pairs = named(short, "x").join(named(short.where("later"), "y"), "key").where(F.expr("x < y") & _possible("x_m", "y_m", percent)).select("x", "y", F.lit(True).alias("short"))
+    shares = stars.unionByName(pairs).groupBy("x", "y").agg(F.count("*").alias("c"), F.bool_or("short").alias("short"))
+    # A class has at most SHORT candidates for each of its keys.
+    likely = Window.partitionBy("y").orderBy(F.desc("c"), "x")
+    candidates = materialise(shares.withColumn("r", F.row_number().over(likely)), "candidates")
     # First the one with which a class shares most keys.
-    likeliest = candidates.groupBy("y").agg(F.max(F.struct("c", F.negative("x").alias("x"))).alias("b")).select("y", F.negative("b.x").alias("x"))
-    best = close(likeliest)
+    best = close(candidates.where("r = 1"))
     found = _verify(best, classes, percent)
-    # Then, for classes that have no match yet, the others, and all earlier classes of their long lists.
-    others = close(candidates.join(found.select("y"), "y", "left_anti").join(best.select("x", "y"), ["x", "y"], "left_anti"))
+    # Then, for classes that have no match yet, the others; chance meets in one long list are left to the long lists.
+    tested = "r = 1 or short or c > 1"
+    others = close(candidates.where(f"r > 1 and ({tested})").join(found.select("y"), "y", "left_anti"))
     also = _verify(others, classes, percent)
     matched = found.unionByName(also)
-    rows = materialise(shared.where(f"k > {SHORT}").select("key", "pos", "m", "later").join(sides.drop("a", "b").hint("shuffle_hash"), "pos"), "rows")
-    open_ = named(rows.where("later"), "y").join(matched.select("y"), "y", "left_anti")
-    lists = named(rows, "x").join(open_, "key").where(F.expr("x < y") & _possible("x_m", "y_m", percent) & near).select("x", "y").distinct()
-    last = close(lists.join(candidates.select("x", "y"), ["x", "y"], "left_anti"))
+    # Last, all earlier classes of their long lists: first of the longest one, where most variants of a line meet. Rows
+    # know a few longest lists of their class, so those met there are passed over in the others.
+    longest = Window.partitionBy("pos").orderBy(F.desc("k"), "key")
+    long = shared.where(f"k > {SHORT}").select("key", "pos", "m", "later", F.row_number().over(longest).alias("r"))
+    tops = F.sort_array(F.collect_list(F.when(F.col("r") <= TOPS, F.struct("r", "key"))).over(Window.partitionBy("pos")))["key"]
+    rows = materialise(long.withColumn("tops", tops).join(sides.drop("a", "b").hint("shuffle_hash"), "pos"), "rows")
+    open_ = materialise(rows.where("later").join(matched.select(F.col("y").alias("pos")), "pos", "left_anti"), "open")
+
+    def listed(asked: DataFrame, done: DataFrame, new: Column) -> DataFrame:
+        met = named(rows, "x").join(named(asked, "y"), "key").where(F.expr("x < y") & new & _possible("x_m", "y_m", percent) & near)
+        return close(met.select("x", "y").distinct().join(done.select("x", "y"), ["x", "y"], "left_anti"))
+
+    done = candidates.where(tested)
+    one = listed(open_.where("r = 1"), done, F.lit(True))
+    once = _verify(one, classes, percent)
+    left = open_.where("r > 1").join(once.select(F.col("y").alias("pos")), "pos", "left_anti")
+    last = listed(left, done.select("x", "y").unionByName(one.select("x", "y")), F.expr("not array_contains(x_tops, y_tops[0])"))
     rest = _verify(last, classes, percent)
-    out = materialise(matched.unionByName(rest), "matches")
-    discard(shared, candidates, best, found, others, also, rows, last, rest)
+    out = materialise(matched.unionByName(once).unionByName(rest), "matches")
+    discard(shared, candidates, best, found, others, also, rows, open_, one, once, last, rest)
     return out
 
 
