@@ -29,7 +29,7 @@ def top_by_blocks(queries: DataFrame, items: DataFrame, keys: list[str], item: s
 
     Each block of items meets each block of queries in one group, which sends on k items a query.
     """
-    a, b = max(1, -(-queries.count() // BLOCK)), max(1, -(-items.count() // BLOCK))
+    a, b = (max(1, -(-df.select(c).count() // BLOCK)) for df, c in ((queries, keys[0]), (items, item)))
     q = queries.select(*keys, F.col("v").alias("q"), F.pmod(F.xxhash64(*keys), F.lit(a)).alias("_a"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(b - 1).cast("long"))).alias("_b"))
     t = items.select(item, "v", F.pmod(F.xxhash64(item), F.lit(b)).alias("_b"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(a - 1).cast("long"))).alias("_a"))
 
@@ -54,19 +54,18 @@ def top_by_blocks(queries: DataFrame, items: DataFrame, keys: list[str], item: s
 def scored(queries: DataFrame, items: DataFrame, keys: list[str], item: str, k: int) -> DataFrame:
     """(keys..., item, score) that hold the k best items of each query and perhaps more.
 
-    The smaller side is broadcast if a bounded count shows that it is small; else both sides are dealt into blocks.
+    Few items, such as pages, are broadcast if a bounded count shows that they are few; else both sides are dealt into
+    blocks.
     """
-    small_items, small_queries = (df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS for df in (items, queries))
-    if not (small_items or small_queries):
+    if items.select(item).limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
         return top_by_blocks(queries, items, keys, item, k)
-    q, t = queries.select(*keys, F.col("v").alias("_q")), items.select(item, "v")
-    pairs = q.join(F.broadcast(t)) if small_items else t.join(F.broadcast(q))
+    pairs = queries.select(*keys, F.col("v").alias("_q")).join(F.broadcast(items.select(item, "v")))
     return pairs.select(*keys, item, vectors.dot("_q", "v").alias("score"))
 
 
 def flat_search(queries: DataFrame, tiles: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, rank, tile_id, score, page_id): the k best of all tiles. Vectors are unit vectors."""
-    best = _ranked(scored(queries, tiles, ["query_id"], "tile_id", k), ["query_id"], [F.desc("score"), F.col("tile_id")], k)
+    best = _ranked(top_by_blocks(queries, tiles, ["query_id"], "tile_id", k), ["query_id"], [F.desc("score"), F.col("tile_id")], k)
     return best.join(tiles.select("tile_id", "page_id"), "tile_id").select("query_id", "rank", "tile_id", "score", "page_id")
 
 
@@ -85,19 +84,38 @@ def add_local_pages(candidates: DataFrame, local: DataFrame) -> DataFrame:
     return candidates.unionByName(added)
 
 
+def page_scores(queries: DataFrame, tiles: DataFrame, candidates: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys..., prank, tile_id, page_id, score) of all tiles in each query's candidate pages.
+
+    Tiles are joined on page_id, so a table partitioned by it is read only where candidates are.
+    """
+    asked = candidates.join(queries.select(*keys, F.col("v").alias("_q")), keys)
+    pairs = tiles.select("page_id", "tile_id", "v").join(broadcast_if_small(asked, BROADCAST_ROWS), "page_id")
+    return pairs.select(*keys, "prank", "tile_id", "page_id", vectors.dot("_q", "v").alias("score"))
+
+
 def search_pages(queries: DataFrame, tiles: DataFrame, candidates: DataFrame, k: int, keys: list[str] | None = None) -> DataFrame:
     """(keys..., rank, tile_id, score, page_id): the k best tiles in each query's candidate pages.
 
-    Ties go to the better page, then to the smaller tile id. Tiles are joined on page_id, so a table partitioned by it is
-    read only where candidates are.
+    Ties go to the better page, then to the smaller tile id.
     """
     keys = keys or ["query_id"]
-    asked = candidates.join(queries.select(*keys, F.col("v").alias("_q")), keys)
-    pairs = tiles.select("page_id", "tile_id", "v").join(broadcast_if_small(asked), "page_id")
-    scores = pairs.select(*keys, "prank", "tile_id", "page_id", vectors.dot("_q", "v").alias("score"))
+    scores = page_scores(queries, tiles, candidates, keys)
     return _ranked(scores, keys, [F.desc("score"), F.col("prank"), F.col("tile_id")], k).select(*keys, "rank", "tile_id", "score", "page_id", "prank")
 
 
+def search_depths(queries: DataFrame, tiles: DataFrame, coarse: DataFrame, depths: list[int], top_k: int = 10) -> DataFrame:
+    """(query_id, top_pages, rank, tile_id, score, page_id): what search() finds with each of several numbers of pages.
+
+    Tiles are scored once, for the largest number.
+    """
+    q = unit(queries)
+    scores = page_scores(q, tiles, coarse_candidates(q, coarse, max(depths)), ["query_id"])
+    each = scores.withColumn("top_pages", F.explode(F.filter(F.array(*(F.lit(n) for n in sorted(set(depths)))), lambda n: n >= F.col("prank"))))
+    best = _ranked(each, ["query_id", "top_pages"], [F.desc("score"), F.col("prank"), F.col("tile_id")], top_k)
+    return best.select("query_id", "top_pages", "rank", "tile_id", "score", "page_id")
+
+
 def search(queries: DataFrame, tiles: DataFrame, coarse: DataFrame, top_pages: int = 5, top_k: int = 10, local: DataFrame | None = None) -> DataFrame:
     """(query_id, rank, tile_id, score, page_id): two-stage search, best pages first, then tiles inside them.
 

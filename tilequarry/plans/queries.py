@@ -186,12 +186,11 @@ def per_query_top1(spark: SparkSession, d: str) -> DataFrame:
 
 
 def partition_vs_exhaustive(spark: SparkSession, d: str) -> DataFrame:
-    out = None
-    for pages in (1, 3, 5, 1000):
-        r = evaluate.evaluate_retrieval(*_located(spark, d, pages), tolerance_m=TOLERANCE)
-        r = r.select(F.lit(pages).alias("top_pages"), "n", *(F.round(F.col("recall_at_k")[k], 6).alias(f"recall_at_{k}") for k in evaluate.K_VALUES))
-        out = r if out is None else out.unionByName(r)
-    return out
+    t, depths = _tiles(spark, d), [1, 3, 5, 1000]
+    found = evaluate.located(retrieval.search_depths(_queries(t), t, index.coarse_vectors(t), depths, TOP_K), t, ("top_pages",))
+    truth = _truth(t).withColumn("top_pages", F.explode(F.array(*(F.lit(n) for n in depths))))
+    r = evaluate.evaluate_retrieval(truth, found, tolerance_m=TOLERANCE, by=("top_pages",))
+    return r.select("top_pages", "n", *(F.round(F.col("recall_at_k")[k], 6).alias(f"recall_at_{k}") for k in evaluate.K_VALUES))
 
 
 def _samples(spark: SparkSession, d: str) -> DataFrame:
