@@ -173,6 +173,20 @@ def test_line_dedup_long_lists(spark):
     assert got == _dedup(rows, 80, 1)
 
 
+def test_line_dedup_where_most_lists_are_long(spark, monkeypatch):
+    monkeypatch.setattr(lines, "SHORT", 2)
+    monkeypatch.setattr(lines, "TOPS", 1)
+    rng = random.Random(11)
+    rows = []
+    for i in range(160):  # drifting variants of two lines, so that many match others than the first
+        line = [f"{'ab'[i % 2]}{j}" for j in range(20)]
+        for _ in range(rng.randint(0, 8)):
+            line[rng.randrange(len(line))] = f"v{rng.randint(0, 12)}"
+        rows.append((i, " ".join(line)))
+    got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == _dedup(rows, 80, 1)
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 10, 97, 1000, 1024])
 def test_permutation(n):
     seed, x = 42, np.arange(n, dtype=np.int64)
