@@ -183,6 +183,25 @@ def test_prefetch_outcomes_by_hand(spark):
     assert got["D"]["evicted_before_use"] is None and got["E"]["used_by_future_query"] is True
 
 
+def test_event_log_states_sizes_and_outcomes(spark):
+    rows = [("s", 0, "A", "demand", 10.0, 5, "q0", 2.5), ("s", 1, "B", "prefetch", 4.0, 6, None, 1.5), ("s", 2, "B", "demand", 4.0, 7, "q1", 9.0), ("s", 3, "C", "demand", None, 8, "q2", 3.0)]
+    df = spark.createDataFrame(rows, "session string, seq long, page_id string, action string, page_bytes double, timestamp_ns long, query_key string, load_ms double")
+    log = cache.event_log(df, 2, page_bytes=1.0).orderBy("event_seq")
+    assert len(log.columns) == 17 and "source_page_id" in log.columns
+    got = [(r["event_type"], r["target_page_id"], r["page_bytes"], r["load_ms"], r["resident_pages_after"], r["resident_bytes_after"], r["timestamp_ns"], r["query_key"]) for r in log.collect()]
+    assert got == [
+        ("demand_load", "A", 10.0, 2.5, 1, 10.0, 5, "q0"),
+        ("prefetch_start", "B", 4.0, 0.0, 1, 10.0, 6, None),
+        ("prefetch_complete", "B", 4.0, 1.5, 2, 14.0, 6, None),
+        ("cache_hit", "B", 4.0, 0.0, 2, 14.0, 7, "q1"),
+        ("demand_load", "C", 1.0, 3.0, 2, 5.0, 8, "q2"),
+        ("eviction", "A", 10.0, 0.0, 2, 5.0, 8, "q2"),
+    ]
+    used = log.where("used_by_future_query is not null").collect()
+    assert [(r["event_type"], r["used_by_future_query"], r["prefetch_query_index"], r["use_query_index"]) for r in used] == [("prefetch_complete", True, 0, 1)]
+    assert cache.event_log(df.limit(0), 2).count() == 0
+
+
 def test_radial_bins(spark):
     rows = spark.range(1024).select(pooling.radial_bin("id", 32, 32, 8).alias("b"), "id").groupBy("b").count().orderBy("b").collect()
     assert [r["count"] for r in rows] == [24, 64, 120, 168, 216, 248, 136, 48]
@@ -312,6 +331,21 @@ def test_streaming_cache_keeps_state_between_batches(spark, tmp_path):
     assert got == want
 
 
+def test_streaming_prefetch_equals_the_batch(spark, tmp_path):
+    from tilequarry.streaming.cache import stream_cache
+
+    schema = "session string, seq long, page_id string"
+    rng = random.Random(5)
+    trace = spark.createDataFrame([(s, i, f"p{rng.randint(0, 5)}") for s in ("a", "b") for i in range(20)], schema)
+    near = spark.createDataFrame([(f"p{i}", f"p{(i + d) % 6}") for i in range(6) for d in (1, 2)], "page_id string, neighbour_id string")
+    trace.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = cache.neighbour_prefetches(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), near)
+    stream_cache(stream, 3).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    order = ["session", "event_seq"]
+    want = cache.simulate(cache.neighbour_prefetches(trace, near), 3).orderBy(*order).collect()
+    assert want and spark.read.parquet(str(tmp_path / "out")).orderBy(*order).collect() == want
+
+
 def test_synthetic_window_covers_every_angle():
     synthetic.SyntheticConfig(rotation_deg=(-90.0, 90.0), oversample=1.5, scale=(1.0, 1.0)).check()
     for bad in ({"rotation_deg": (-90.0, 90.0), "oversample": 1.2}, {"rotation_deg": (100.0, 140.0), "oversample": 1.45}, {"scale": (1.05, 0.8), "oversample": 1.6}):
