@@ -346,6 +346,49 @@ def test_streaming_prefetch_equals_the_batch(spark, tmp_path):
     assert want and spark.read.parquet(str(tmp_path / "out")).orderBy(*order).collect() == want
 
 
+def test_commands(spark, tmp_path):
+    from tilequarry.__main__ import main
+
+    at = lambda name: str(tmp_path / name)
+    rows = [(i, j, [float(i == k) + 0.1 * j for k in range(3)]) for i in range(3) for j in range(2)]
+    spark.createDataFrame(rows, "image_id long, token_idx int, v array<double>").write.parquet(at("tokens"))
+    main(["descriptors", "--tokens", at("tokens"), "--out", at("d")])
+    made = {r["tile_id"]: r["embedding"] for r in spark.read.parquet(at("d/embeddings")).collect()}
+    assert {k: max(range(3), key=v.__getitem__) for k, v in made.items()} == {0: 0, 1: 1, 2: 2}
+
+    spark.createDataFrame([(1, 0.0, 0.0), (2, 0.0, 0.0)], "query_id long, gt_x double, gt_y double").write.parquet(at("truth"))
+    spark.createDataFrame([("cls", 1, 1, 3.0, 4.0), ("cls", 2, 1, 300.0, 400.0)], "strategy string, query_id long, rank int, center_x double, center_y double").write.parquet(at("candidates"))
+    main(["ablation", "--truth", at("truth"), "--candidates", at("candidates"), "--out", at("a")])
+    row = spark.read.option("header", True).csv(at("a/table")).first()
+    assert (row["strategy"], row["n"], float(row["median_error_m"]), float(row["recall_at_1"])) == ("cls", "2", 252.5, 0.5)
+    assert [r["value"] for r in spark.read.text(at("a/markdown")).collect()] == ["| cls | 252.500 | 252.500 | 0.5000 | 0.5000 | 0.5000 |"]
+
+    spark.createDataFrame([("RAM 5/9MB GR3D_FREQ 45%",)], "value string").write.text(at("lines"))
+    main(["telemetry", "--lines", at("lines"), "--out", at("t"), "--checkpoint", at("c"), "--max-seconds", "2"])
+    got = spark.read.option("header", True).csv(at("t")).collect()
+    assert [(r["ram_used_mb"], r["gpu_util_pct"]) for r in got] == [("5", "45")]
+
+
+def test_flight_command(spark, tmp_path):
+    from tilequarry.__main__ import main
+
+    at = lambda name: str(tmp_path / name)
+    truth = [("a.png", 49.065, 19.590), ("b.png", 49.066, 19.592)]
+    (tmp_path / "gt.csv").write_text("filename,lat,lon,alt_m,yaw_deg,timestamp_video_s\n" + "".join(f"{n},{lat},{lon},700,,0\n" for n, lat, lon in truth))
+    centres = {r["filename"]: (r["gt_x"], r["gt_y"]) for r in readers.read_flight(spark, at("gt.csv")).collect()}
+    points = spark.createDataFrame([(i, *centres[n]) for i, (n, _, _) in enumerate(truth)], "tile_id long, center_x double, center_y double")
+    left, top = min(x for x, _ in centres.values()) - 500, max(y for _, y in centres.values()) + 500
+    made = catalog.build_catalog(points, geo.Raster(left, top, 0.15, 20000, 20000), 1024, 512, 600.0, ["tile_id"], "x")
+    vectors = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "tile_id long, embedding array<float>")
+    writers.write_index(index.build_index(made, vectors), at("index"))
+    spark.createDataFrame([("a.png", [1.0, 0.1]), ("b.png", [0.1, 1.0])], "filename string, v array<double>").write.parquet(at("frames"))
+    main(["flight", "--index", at("index"), "--frames", at("frames"), "--gt-csv", at("gt.csv"), "--out", at("out")])
+    rows = spark.read.option("header", True).csv(at("out/per_query")).orderBy("filename").collect()
+    assert [(r["filename"], r["top1_tile_id"]) for r in rows] == [("a.png", "0"), ("b.png", "1")]
+    summary = readers.read_summary(spark, at("out/summary")).first()
+    assert summary["n"] == 2 and summary["median_error_m"] < 1e-6
+
+
 def test_synthetic_window_covers_every_angle():
     synthetic.SyntheticConfig(rotation_deg=(-90.0, 90.0), oversample=1.5, scale=(1.0, 1.0)).check()
     for bad in ({"rotation_deg": (-90.0, 90.0), "oversample": 1.2}, {"rotation_deg": (100.0, 140.0), "oversample": 1.45}, {"scale": (1.05, 0.8), "oversample": 1.6}):

@@ -69,7 +69,7 @@ def write_lines(df: DataFrame, column: str, path: str) -> None:
 
 def telemetry_rows(parsed: DataFrame) -> DataFrame:
     """The fixed columns of a telemetry file; what is missing is null."""
-    return parsed.select(*(F.col(c) if c in parsed.columns else F.lit(None).alias(c) for c in schemas.TELEMETRY_COLUMNS))
+    return parsed.select(*(F.col(c) if c in parsed.columns else F.lit(None).cast("string" if c == "raw" else "double").alias(c) for c in schemas.TELEMETRY_COLUMNS))
 
 
 def write_unavailable(spark: SparkSession, path: str) -> None:
