@@ -173,6 +173,16 @@ def test_line_dedup_long_lists(spark):
     assert got == _dedup(rows, 80, 1)
 
 
+def test_line_dedup_has_no_more_keys_than_suffice(spark):
+    for percent in (80, 85, 90, 95):
+        most = lambda n: max(2 * (((100 - percent) * n - percent * b) // 100) + b for b in range(n) if percent * b <= (100 - percent) * n)  # noqa: E731, B023
+        got = spark.range(1, 200).selectExpr("id", f"{lines._broken('id', percent)} AS k").collect()
+        assert [r["k"] for r in got] == [most(r["id"]) for r in got]
+    docs, bits = lines._rows(spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(43)))], "doc_id long, text string"))
+    classes = lines._classes(docs, bits)
+    assert lines._postings(classes, lines._order(classes), 80).count() == 17
+
+
 def test_line_dedup_where_most_lists_are_long(spark, monkeypatch):
     monkeypatch.setattr(lines, "SHORT", 2)
     monkeypatch.setattr(lines, "TOPS", 1)

@@ -36,17 +36,17 @@ MOST = (1 << 16) - 1
 SHORT = 16
 #: Longest lists that a row of a long list knows of its class; more only save work.
 TOPS = 4
+#: Words of a set from which a second parity bitmap is worth its time.
+WIDE = 64
 #: ASCII white space other than the space and the line feed.
-_GAPS = "\t\x0b\x0c\r"
+_GAPS = "[\t\x0b\x0c\r]"
 
 
 def _ids(line: str) -> Column:
     """Hashes of the distinct lower-cased words, in no order. 64 bits tell the words of a corpus apart."""
-    words = F.lower(line)
-    for gap in _GAPS:
-        words = F.replace(words, F.lit(gap), F.lit(" "))
+    words = F.lower(F.when(F.col(line).rlike(_GAPS), F.regexp_replace(line, _GAPS, " ")).otherwise(F.col(line)))
     hashed = F.transform(F.split(words, " ", -1), lambda w: F.xxhash64(w))
-    return F.array_remove(F.array_distinct(hashed), F.expr("xxhash64('')"))
+    return F.array_except(hashed, F.array(F.expr("xxhash64('')")))
 
 
 def _rows(docs: DataFrame) -> tuple[DataFrame, int]:
@@ -58,7 +58,7 @@ def _rows(docs: DataFrame) -> tuple[DataFrame, int]:
     whole = isinstance(docs.schema["doc_id"].dataType, IntegralType)
     ids = F.col("doc_id").cast("long") if whole else F.lit(0).cast("long")
     part = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    feeds = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
+    feeds = F.size(F.split("text", "\n", -1)) - 1
     each = docs.select(ids.alias("id"), part.alias("part"), feeds.alias("feeds")).groupBy("id").agg(F.min("part").alias("a"), F.max("part").alias("b"), F.max("feeds").alias("feeds"))
     s = each.agg(F.bool_or(F.expr("a <> b")).alias("several"), F.min("id").alias("low"), F.max("id").alias("high"), F.max("feeds").alias("feeds")).first()
     bits, low = (s["feeds"] or 0).bit_length(), s["low"] or 0
@@ -71,50 +71,62 @@ def _rows(docs: DataFrame) -> tuple[DataFrame, int]:
 
 def split_lines(docs: DataFrame, bits: int) -> DataFrame:
     """(a, b, pos, line): lines that have a word, two hashes of them, and their places: the row and the line's number."""
-    each = docs.select("_row", F.posexplode(F.split("text", "\n", -1)).alias("i", "line")).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+    each = docs.select("_row", F.posexplode(F.split("text", "\n", -1)).alias("i", "line")).where(F.ltrim("line", F.lit(" \t\n\x0b\x0c\r")) != "")
     pos = F.shiftleft("_row", bits).bitwiseOR(F.col("i").cast("long"))
     return each.select(F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b"), pos.alias("pos"), "line")
 
 
 def _classes(docs: DataFrame, bits: int) -> DataFrame:
-    """(a, b, pos, n, p0, p1, w): the first of equal lines, its words, their number and parity bitmap."""
-    first = split_lines(docs, bits).groupBy("a", "b").agg(F.min(F.struct("pos", "line")).alias("f"))
-    sets = first.select("a", "b", "f.pos", _ids("f.line").alias("w"))
-    bit = "shiftleft(1L, cast(x >> 52 as int) & 63)"
-    parity = (F.expr(f"aggregate(w, 0L, (p, x) -> p ^ {b})").alias(k) for k, b in (("p0", bit), ("p1", f"({bit} & (x >> 63))")))
-    return sets.select("a", "b", "pos", F.size("w").alias("n"), *parity, "w")
+    """(a, b, pos, copies, n, p0, p1, w): the first of equal lines, whether it has copies, its words, their number and parity
+    bitmap; p1 is null in small sets."""
+    first = split_lines(docs, bits).groupBy("a", "b").agg(F.min(F.struct("pos", "line")).alias("f"), F.max("pos").alias("last"))
+    sets = first.select("a", "b", "f.pos", (F.col("last") > F.col("f.pos")).alias("copies"), _ids("f.line").alias("w"))
+    bit = "shiftleft(1L, cast(x >> 52 as int))"  # a shift takes the last 6 bits
+    p0, p1 = (F.expr(f"aggregate(w, 0L, (p, x) -> p ^ {b})") for b in (bit, f"({bit} & (x >> 63))"))
+    return sets.select("a", "b", "pos", "copies", F.size("w").alias("n"), p0.alias("p0"), F.when(F.size("w") > WIDE, p1).alias("p1"), "w")
 
 
 def _order(classes: DataFrame) -> Column:
     """The table of word frequencies: for each slot of the hashes the logarithm of its count over all classes, in parts of
-    the mean count; 0 up to twice the mean. Frequent words stand out of the mean at any size of the corpus."""
-    slot = F.expr(f"cast(w & {SLOTS - 1}L as int)")
-    counts = classes.select(F.explode("w").alias("w")).groupBy(slot.alias("s")).agg(F.count("*").alias("k"))
-    found = counts.toPandas()  # SLOTS rows at most
-    table = np.zeros(SLOTS)
-    table[found["s"].to_numpy()] = found["k"].to_numpy()
+    the mean count; 0 up to twice the mean. Frequent words stand out of the mean at any size of the corpus. The logarithms
+    stand in the first 12 bits."""
+    # Eight slots a row: so few keys stay in the first level of Spark's hash aggregate.
+    slot = F.expr(f"cast(w & {SLOTS - 1}L as int) >> 3")
+    each = [F.count(F.when(F.col("w").bitwiseAND(F.lit(7)) == i, 1)).alias(f"k{i}") for i in range(8)]
+    found = classes.select(F.explode("w").alias("w")).groupBy(slot.alias("s")).agg(*each).toPandas()  # SLOTS / 8 rows at most
+    table = np.zeros((SLOTS // 8, 8))
+    table[found["s"].to_numpy()] = found.drop(columns="s").to_numpy()
+    table = table.ravel()
     mean = max(table.mean(), 1e-9)
     codes = np.where(table > 2 * mean, 8 * np.log2(np.maximum(table / mean, 1)), 0).astype(int)
-    return F.split(F.lit(",".join(map(str, codes.tolist()))), ",", -1).cast("array<int>")
+    return F.split(F.lit(",".join(str(c << 52) for c in codes.tolist())), ",", -1).cast("array<bigint>")
 
 
 def _postings(classes: DataFrame, table: Column, percent: int) -> DataFrame:
     """(key, pos, m): the index keys of each class; m holds size, place and 32 bits of parity. Below t = 0.8 short sets
     may have too few pairs of neighbours, so there the first words alone are the keys."""
-    code = lambda w: F.shiftleft(F.get(table, w.bitwiseAND(F.lit(SLOTS - 1)).cast("int")).cast("long"), 52)
     # No element is null, and arrays that cannot hold nulls are sorted as plain longs.
-    rank = lambda w: F.coalesce(code(w).bitwiseOR(w.bitwiseAND(F.lit((1 << 52) - 1))), F.lit(0).cast("long"))
+    code = lambda w: F.coalesce(table[w.bitwiseAND(F.lit(SLOTS - 1))], F.lit(0).cast("long"))
+    rank = lambda w: code(w).bitwiseOR(w.bitwiseAND(F.lit((1 << 52) - 1)))
     bits = F.col("p0").bitwiseXOR(F.shiftrightunsigned("p0", 32)).bitwiseAND(F.lit((1 << 32) - 1))
     size = F.shiftleft(F.least("n", F.lit(MOST)).cast("long"), 48)
     sets = classes.select("pos", "n", size.bitwiseOR(bits).alias("m"), F.sort_array(F.transform("w", rank)).alias("ids"))
+    # Keys are worked out behind posexplode(), not in a lambda function, which Spark does not compile.
     if percent >= 80:
-        pairs = F.expr(f"transform(slice(ids, 1, least(n - 1, {2 * (100 - percent)} * n div 100 + 1)), (x, i) -> x ^ shiftleft(get(ids, i + 1), 7))")
         # A set that is similar to equal sets only has one key, the whole of it.
-        keys = F.when(F.expr(f"100 * n div {percent} = n and {100 - percent} * n < 100"), F.array(F.xxhash64("ids"))).otherwise(pairs)
+        whole = f"(100 * n div {percent} = n and {100 - percent} * n < 100)"
+        first = f"if{whole[:-1]}, 1, least(n - 1, {_broken('n', percent)} + 1))"
+        key = F.expr(f"if{whole[:-1]}, xxhash64(ids), x ^ shiftleft(get(ids, place + 1), 7))")
     else:
-        keys = F.expr(f"slice(ids, 1, {100 - percent} * n div 100 + 1)")
-    each = sets.select("pos", "m", F.posexplode(keys).alias("place", "key"))
-    return each.select("key", "pos", F.expr(f"m | shiftleft(cast(least(place, {MOST}) as long), 32)").alias("m"))
+        first, key = f"{100 - percent} * n div 100 + 1", F.col("x")
+    each = sets.select("pos", "m", "n", "ids", F.posexplode(F.expr(f"slice(ids, 1, {first})")).alias("place", "x"))
+    return each.select(key.alias("key"), "pos", F.expr(f"m | shiftleft(cast(least(place, {MOST}) as long), 32)").alias("m"))
+
+
+def _broken(n: str, percent: int) -> str:
+    """The most pairs of neighbours of a set of n that a similar set lacks: the most of 2 a + b, where
+    100 a <= (100 - percent) n - percent b. From 80 percent on more than three words of the other set's own never add to it."""
+    return f"greatest({', '.join(f'2 * (({100 - percent} * {n} - {percent * b} + 400) div 100 - 4) + {b}' for b in range(4))})"
 
 
 def _needed(x: str, y: str, percent: int) -> str:
@@ -136,8 +148,8 @@ def _possible(x: str, y: str, percent: int) -> Column:
 
 def _apart(x: str, y: str) -> str:
     """Places in which two parity bitmaps differ, never more than the sets have words of their own. p0 is the parity of
-    all words in 64 places, p1 that of the words with a negative hash."""
-    return f"(bit_count({x}1 ^ {y}1) + bit_count({x}0 ^ {x}1 ^ {y}0 ^ {y}1))"
+    all words in 64 places, p1, if both sets have it, that of the words with a negative hash."""
+    return f"coalesce(bit_count({x}1 ^ {y}1) + bit_count({x}0 ^ {x}1 ^ {y}0 ^ {y}1), bit_count({x}0 ^ {y}0))"
 
 
 def _verify(near: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -161,7 +173,7 @@ def later_matches(classes: DataFrame, percent: int) -> DataFrame:
     seen = lists.select("*", F.count("*").over(whole).alias("k"), F.min(F.struct("pos", "m")).over(whole).alias("e")).where("k > 1")
     later = F.expr("e.pos < pos")
     marked = seen.select("key", "pos", "m", "k", F.col("e.pos").alias("first"), later.alias("later"), (later & _possible("e.m", "m", percent)).alias("star"))
-    shared = materialise(marked.where("k > 2 or star"), "shared")
+    shared = materialise(marked.where("k > 2 or star"), "shared", plain=["key", "pos", "m"])
     sides = classes.select("a", "b", "pos", "n", "p0", "p1")
     side = lambda k: sides.select(F.col("pos").alias(k), *(F.col(c).alias(f"{k}_{c}") for c in sides.columns if c != "pos")).hint("shuffle_hash")
     near = F.expr(f"{_apart('x_p', 'y_p')} <= x_n + y_n - 2 * {_needed('x_n', 'y_n', percent)}")
@@ -170,7 +182,7 @@ def later_matches(classes: DataFrame, percent: int) -> DataFrame:
         return materialise(pairs.select("x", "y").join(side("y"), "y").join(side("x"), "x").where(near), "near")
 
     def named(rows: DataFrame, k: str) -> DataFrame:
-        return rows.select("key", *(F.col(c).alias(k if c == "pos" else f"{k}_{c}") for c in ("pos", "m", "n", "p0", "p1", "tops") if c in rows.columns))
+        return rows.select("key", *(F.col(c).alias(k if c == "pos" else f"{k}_{c}") for c in ("pos", "m", "a", "b", "n", "p0", "p1", "tops") if c in rows.columns))
 
     # All pairs of short lists; those with the earliest class in long ones and in lists of two.
     short = shared.where(f"k between 3 and {SHORT}")
@@ -193,12 +205,13 @@ def later_matches(classes: DataFrame, percent: int) -> DataFrame:
     longest = Window.partitionBy("pos").orderBy(F.desc("k"), "key")
     long = shared.where(f"k > {SHORT}").select("key", "pos", "m", "later", F.row_number().over(longest).alias("r"))
     tops = F.sort_array(F.collect_list(F.when(F.col("r") <= TOPS, F.struct("r", "key"))).over(Window.partitionBy("pos")))["key"]
-    rows = materialise(long.withColumn("tops", tops).join(sides.drop("a", "b").hint("shuffle_hash"), "pos"), "rows")
+    rows = materialise(long.withColumn("tops", tops).join(sides.hint("shuffle_hash"), "pos"), "rows")
     open_ = materialise(rows.where("later").join(matched.select(F.col("y").alias("pos")), "pos", "left_anti"), "open")
 
     def listed(asked: DataFrame, done: DataFrame, new: Column) -> DataFrame:
         met = named(rows, "x").join(named(asked, "y"), "key").where(F.expr("x < y") & new & _possible("x_m", "y_m", percent) & near)
-        return close(met.select("x", "y").distinct().join(done.select("x", "y"), ["x", "y"], "left_anti"))
+        pairs = met.select("x", "y", *(f"{k}_{c}" for k in ("x", "y") for c in ("a", "b", "n"))).distinct()
+        return materialise(pairs.join(done.select("x", "y"), ["x", "y"], "left_anti"), "near")
 
     done = candidates.where(tested)
     one = listed(open_.where("r = 1"), done, F.lit(True))
@@ -213,12 +226,12 @@ def later_matches(classes: DataFrame, percent: int) -> DataFrame:
 
 def removed_lines(docs: DataFrame, bits: int, percent: int = 80, min_tokens: int = 1) -> DataFrame:
     """(pos) of the lines to remove; for docs and bits see _rows."""
-    every, drop = materialise_bucketed(_classes(docs, bits), ["a", "b"], "classes")
+    every, drop = materialise_bucketed(_classes(docs, bits), ["a", "b"], "classes", plain=["a", "b", "pos", "p0", "p1"])
     classes = every.where(F.col("n") >= max(1, min_tokens))
     matches = later_matches(classes, percent)
     gone = matches.select("a", "b", F.lit(True).alias("gone")).hint("shuffle_hash")
     # Written without the buckets: a line that stands almost everywhere is then a skewed join, which Spark splits.
-    known = materialise(classes.select("a", "b", F.col("pos").alias("first")).join(gone, ["a", "b"], "left"), "firsts")
+    known = materialise(classes.select("a", "b", F.col("pos").alias("first"), "copies").join(gone, ["a", "b"], "left").where("gone or copies").drop("copies"), "firsts")
     placed = split_lines(docs, bits).select("a", "b", "pos").join(known.hint("shuffle_hash"), ["a", "b"])
     out = materialise(placed.where("gone or pos <> first").select("pos"), "removed")
     drop()
