@@ -193,6 +193,21 @@ def test_line_dedup_has_no_more_keys_than_suffice(spark):
     assert lines._postings(classes, lines._order(classes), 80).count() == 17
 
 
+def test_line_dedup_sorts_plain_numbers(spark):
+    docs, bits = lines._rows(spark.createDataFrame([(1, "a b c d e f g"), (2, "x\ty z")], "doc_id long, text string"))
+    classes = common.materialise(lines._classes(docs, bits))  # as read from files, where any array may hold nulls
+    ranked = classes.select(lines._ranked(lines._order(classes)).alias("ids"))
+    assert ranked.schema["ids"].dataType.containsNull is False
+    assert sorted(len(r["ids"]) for r in ranked.collect()) == [3, 7] and all(r["ids"] == sorted(r["ids"]) for r in ranked.collect())
+
+
+def test_line_dedup_white_space_of_every_kind(spark):
+    rows = [(0, "one two three four five six")] + [(i, c.join("One two three four five six".split())) for i, c in enumerate("\t\x0b\x0c\r", 1)]
+    rows += [(9, "one\u2003two\u2003three\u2003four\u2003five\u2003six")]  # no gap: one word
+    got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict(rows) | {i: "" for i in range(1, 5)}
+
+
 def test_line_dedup_where_most_lists_are_long(spark, monkeypatch):
     monkeypatch.setattr(lines, "SHORT", 2)
     monkeypatch.setattr(lines, "TOPS", 1)

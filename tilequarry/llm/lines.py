@@ -20,6 +20,9 @@ list, then of its other long ones. Most variants of one line thus give one pair
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,12 +42,13 @@ TOPS = 4
 #: Words of a set from which a second parity bitmap is worth its time.
 WIDE = 64
 #: ASCII white space other than the space and the line feed.
-_GAPS = "[\t\x0b\x0c\r]"
+_GAPS = "\t\x0b\x0c\r"
 
 
 def _ids(line: str) -> Column:
     """Hashes of the distinct lower-cased words, in no order. 64 bits tell the words of a corpus apart."""
-    words = F.lower(F.when(F.col(line).rlike(_GAPS), F.regexp_replace(line, _GAPS, " ")).otherwise(F.col(line)))
+    odd = reduce(or_, (F.col(line).contains(c) for c in _GAPS))  # looks at bytes; a pattern would decode every line
+    words = F.lower(F.when(odd, F.translate(line, _GAPS, " " * len(_GAPS))).otherwise(F.col(line)))
     hashed = F.transform(F.split(words, " ", -1), lambda w: F.xxhash64(w))
     return F.array_except(hashed, F.array(F.expr("xxhash64('')")))
 
@@ -58,7 +62,7 @@ def _rows(docs: DataFrame) -> tuple[DataFrame, int]:
     whole = isinstance(docs.schema["doc_id"].dataType, IntegralType)
     ids = F.col("doc_id").cast("long") if whole else F.lit(0).cast("long")
     part = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    feeds = F.size(F.split("text", "\n", -1)) - 1
+    feeds = F.octet_length("text")  # no fewer than its line feeds
     each = docs.select(ids.alias("id"), part.alias("part"), feeds.alias("feeds")).groupBy("id").agg(F.min("part").alias("a"), F.max("part").alias("b"), F.max("feeds").alias("feeds"))
     s = each.agg(F.bool_or(F.expr("a <> b")).alias("several"), F.min("id").alias("low"), F.max("id").alias("high"), F.max("feeds").alias("feeds")).first()
     bits, low = (s["feeds"] or 0).bit_length(), s["low"] or 0
@@ -82,7 +86,7 @@ def _classes(docs: DataFrame, bits: int) -> DataFrame:
     first = split_lines(docs, bits).groupBy("a", "b").agg(F.min(F.struct("pos", "line")).alias("f"), F.max("pos").alias("last"))
     sets = first.select("a", "b", "f.pos", (F.col("last") > F.col("f.pos")).alias("copies"), _ids("f.line").alias("w"))
     bit = "shiftleft(1L, cast(x >> 52 as int))"  # a shift takes the last 6 bits
-    p0, p1 = (F.expr(f"aggregate(w, 0L, (p, x) -> p ^ {b})") for b in (bit, f"({bit} & (x >> 63))"))
+    p0, p1 = (F.expr(f"aggregate(w, 0L, (p, x) -> {b})") for b in (f"p ^ {bit}", f"if(x < 0, p ^ {bit}, p)"))
     return sets.select("a", "b", "pos", "copies", F.size("w").alias("n"), p0.alias("p0"), F.when(F.size("w") > WIDE, p1).alias("p1"), "w")
 
 
@@ -102,15 +106,19 @@ def _order(classes: DataFrame) -> Column:
     return F.split(F.lit(",".join(str(c << 52) for c in codes.tolist())), ",", -1).cast("array<bigint>")
 
 
+def _ranked(table: Column) -> Column:
+    """The words w in the global order: the code of their slot, then their hash."""
+    # Files give arrays that may hold nulls, which are sorted as objects; these hold none and are sorted as plain longs.
+    rank = lambda w: table[w.bitwiseAND(F.lit(SLOTS - 1))].bitwiseOR(w.bitwiseAND(F.lit((1 << 52) - 1)))
+    return F.sort_array(F.transform("w", lambda w: F.coalesce(rank(w), F.lit(0).cast("long"))))
+
+
 def _postings(classes: DataFrame, table: Column, percent: int) -> DataFrame:
-    """(key, pos, m): the index keys of each class; m holds size, place and 32 bits of parity. Below t = 0.8 short sets
+    """(key, m, pos): the index keys of each class; m holds size, 32 bits of parity and place. Below t = 0.8 short sets
     may have too few pairs of neighbours, so there the first words alone are the keys."""
-    # No element is null, and arrays that cannot hold nulls are sorted as plain longs.
-    code = lambda w: F.coalesce(table[w.bitwiseAND(F.lit(SLOTS - 1))], F.lit(0).cast("long"))
-    rank = lambda w: code(w).bitwiseOR(w.bitwiseAND(F.lit((1 << 52) - 1)))
     bits = F.col("p0").bitwiseXOR(F.shiftrightunsigned("p0", 32)).bitwiseAND(F.lit((1 << 32) - 1))
     size = F.shiftleft(F.least("n", F.lit(MOST)).cast("long"), 48)
-    sets = classes.select("pos", "n", size.bitwiseOR(bits).alias("m"), F.sort_array(F.transform("w", rank)).alias("ids"))
+    sets = classes.select("pos", "n", size.bitwiseOR(F.shiftleft(bits, 16)).alias("m"), _ranked(table).alias("ids"))
     # Keys are worked out behind posexplode(), not in a lambda function, which Spark does not compile.
     if percent >= 80:
         # A set that is similar to equal sets only has one key, the whole of it.
@@ -120,7 +128,7 @@ def _postings(classes: DataFrame, table: Column, percent: int) -> DataFrame:
     else:
         first, key = f"{100 - percent} * n div 100 + 1", F.col("x")
     each = sets.select("pos", "m", "n", "ids", F.posexplode(F.expr(f"slice(ids, 1, {first})")).alias("place", "x"))
-    return each.select(key.alias("key"), "pos", F.expr(f"m | shiftleft(cast(least(place, {MOST}) as long), 32)").alias("m"))
+    return each.select(key.alias("key"), F.expr(f"m | cast(least(place, {MOST}) as long)").alias("m"), "pos")
 
 
 def _broken(n: str, percent: int) -> str:
@@ -137,12 +145,12 @@ def _needed(x: str, y: str, percent: int) -> str:
 def _possible(x: str, y: str, percent: int) -> Column:
     """Whether two postings of a key, by their m, can belong to similar sets: sizes, places of the key and bitmaps."""
     nx, ny = (f"shiftrightunsigned({m}, 48)" for m in (x, y))
-    px, py = (f"(shiftrightunsigned({m}, 32) & {MOST})" for m in (x, y))
+    px, py = (f"({m} & {MOST})" for m in (x, y))
     needed = _needed(nx, ny, percent)
     return F.expr(
         f"greatest({nx}, {ny}) = {MOST} or (100 * least({nx}, {ny}) >= {percent} * greatest({nx}, {ny})"
         f" and least({px}, {py}) + least({nx} - {px}, {ny} - {py}) >= {needed}"
-        f" and bit_count(({x} ^ {y}) & {(1 << 32) - 1}L) <= {nx} + {ny} - 2 * {needed})"
+        f" and bit_count(({x} ^ {y}) & {((1 << 32) - 1) << 16}L) <= {nx} + {ny} - 2 * {needed})"
     )
 
 
@@ -170,9 +178,10 @@ def later_matches(classes: DataFrame, percent: int) -> DataFrame:
     parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     lists = _postings(classes, _order(classes), percent).repartition(parts, "key")
     whole = Window.partitionBy("key")
-    seen = lists.select("*", F.count("*").over(whole).alias("k"), F.min(F.struct("pos", "m")).over(whole).alias("e")).where("k > 1")
-    later = F.expr("e.pos < pos")
-    marked = seen.select("key", "pos", "m", "k", F.col("e.pos").alias("first"), later.alias("later"), (later & _possible("e.m", "m", percent)).alias("star"))
+    # Plain numbers, not the least of structs: nearly all of the many lists have one row.
+    seen = lists.select("*", F.count("*").over(whole).alias("k"), F.min("pos").over(whole).alias("first"), F.min_by("m", "pos").over(whole).alias("first_m")).where("k > 1")
+    later = F.expr("first < pos")
+    marked = seen.select("key", "pos", "m", "k", "first", later.alias("later"), (later & _possible("first_m", "m", percent)).alias("star"))
     shared = materialise(marked.where("k > 2 or star"), "shared", plain=["key", "pos", "m"])
     sides = classes.select("a", "b", "pos", "n", "p0", "p1")
     side = lambda k: sides.select(F.col("pos").alias(k), *(F.col(c).alias(f"{k}_{c}") for c in sides.columns if c != "pos")).hint("shuffle_hash")
