@@ -160,6 +160,19 @@ def test_line_dedup_ids_that_are_no_numbers(spark):
     assert got == {"x1": rows[0][1], "x2": "", None: "six", "x3": None}
 
 
+def test_line_dedup_numbers_rows_without_their_texts(spark):
+    unread = spark.range(5, 8).select(F.col("id").alias("doc_id"), F.raise_error(F.lit("a text was read")).cast("string").alias("text"))
+    docs, bits = lines._rows(unread)
+    assert [r["_row"] for r in docs.select("_row").collect()] == [1, 2, 3] and bits == lines.LINE_BITS
+
+
+@pytest.mark.parametrize("far", [0, 1 << 30, 1 << 31, 1 << 45, 1 << 62])
+def test_line_dedup_ids_far_apart(spark, far):
+    rows = [(-far - 1, "one two three\nfour five"), (far, "six\none two three"), (far + 1, "five four\nseven"), (None, "seven")]
+    got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict(rows) | {far: "six", far + 1: ""}
+
+
 def test_line_dedup_long_lists(spark):
     rng = random.Random(3)
     base = [f"w{i}" for i in range(24)]
